@@ -8,13 +8,17 @@ from ledgerloom.fixed_values import CODE_FENCE, PUBLISHER_SEPARATOR, SENTENCE_BR
 from ledgerloom.functions.numbers import Col, col
 
 
+# White space as Python's str.split and re see it: ASCII plus the Unicode separators.
+SPACE = r"[\s\x{85}\p{Z}\x{1c}-\x{1f}]"
+
+
 def blank_to_null(c: Col) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
 def squeezed(c: Col) -> Column:
     """Runs of white space as one blank, ends trimmed; NULL stays NULL."""
-    return F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(col(c), SPACE + "+", " "))
 
 
 def without_publisher(title: Col, publisher: Col) -> Column:
