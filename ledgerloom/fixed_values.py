@@ -189,3 +189,49 @@ DOC_ENTRY = r"^ {4}(\*{0,2}[A-Za-z_][\w.]*)\s*(?:\([^)]*\))?\s*:"
 CODE_FENCE = r"(?m)^```[\w-]*\s*$|^\s*```\s*$"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])"
 REJECT_DETAIL = r" '.*'|: .*|\d+"
+NO_CHART = "_The chart could not be drawn; see Data notes._"
+BRIEF_TEMPLATE = """\
+# {company} ({ticker}): equity research brief
+
+Generated {generated_at} · market data as of {as_of}
+
+## Company snapshot
+
+| Measure | Value |
+|---|---|
+| Current price | {price} |
+| 52-week high | {high_52w} |
+| 52-week low | {low_52w} |
+| P/E ratio (trailing) | {pe_ratio} |
+| Year-to-date return | {ytd} |
+| Momentum signal (rule-based) | {momentum} |
+
+## Technical outlook
+
+{chart}
+
+{technical_facts}
+
+## News sentiment
+
+{sentiment}
+
+## Recommendation: {recommendation} over the next {horizon_days} days
+
+{placeholder}{justification}
+
+**Key factors**
+
+{key_factors}
+
+## How this brief was made
+
+{method}
+{data_notes}
+---
+
+**Risk disclaimer.** {disclaimer}
+"""
+RECOMMENDATIONS = ["Buy", "Hold", "Sell"]
+STRATEGIES = ["protective_put", "collar", "put_spread", "trim_and_stop"]
+TEMPLATE_REASON = "the report model was unavailable, so it was written from a template"

@@ -191,3 +191,75 @@ def secondary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.6).alias("confidence"),
         F.lit("tone of the text").alias("reason"),
     )
+
+
+# --- corpus -----------------------------------------------------------------------
+
+
+def part_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as generated Python functions: the columns of a part decide the shape of its code.
+
+    ``shape`` is the real kind of the code; it differs from ``kind`` for one brand. Two
+    more brands get broken code and code that already has a docstring.
+    """
+    c = F.col
+    base = table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("seq"),
+        F.lower("p_type").alias("topic"),
+        F.when(c("p_size") < 17, "simple").when(c("p_size") < 34, "medium").otherwise("tricky").alias("level"),
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), c("p_size").cast("string")).alias("fn"),
+        (c("p_partkey") % 4).cast("int").alias("k"),
+        c("p_size").alias("size"),
+        c("p_brand").alias("brand"),
+        (c("p_retailprice") > 950).alias("raising"),
+    )
+    kinds = F.array(*[F.lit(x) for x in ("function", "method", "generator", "async")])
+    shape = F.when(c("brand") == "Brand#3", (c("k") + 1) % 4).otherwise(c("k"))
+    shaped = base.withColumn("shape", shape).withColumn("kind", F.element_at(kinds, c("k") + 1))
+    heads = F.array(
+        F.concat(F.lit("def "), c("fn"), F.lit("(q, r=1):\n")),
+        F.concat(F.lit("def "), c("fn"), F.lit("(self, q):\n")),
+        F.concat(F.lit("def "), c("fn"), F.lit("(q, *rest):\n")),
+        F.concat(F.lit("async def "), c("fn"), F.lit("(q, *, key=None, **extra):\n")),
+    )
+    call = F.when(c("size") % 3 == 0, "math.sqrt").when(c("size") % 3 == 1, "json.dumps").otherwise("text.split")
+    error = F.when(c("size") % 2 == 0, "ValueError").otherwise("errors.BadPart")
+    code = F.concat(
+        F.element_at(heads, c("shape") + 1),
+        F.when(c("brand") == "Brand#7", '    """Already documented."""\n').otherwise(""),
+        F.lit("    x = 1\n\n"),
+        F.repeat(F.concat(F.lit("    x = "), call, F.lit("(q)\n")), c("size") % 43),
+        F.when(c("raising"), F.concat(F.lit("    if q is None:\n        raise "), error, F.lit("('bad part')\n"))).otherwise(""),
+        F.when(c("shape") == 2, "    yield x\n").when(c("size") % 5 == 0, "    return None\n").otherwise("    return x\n"),
+    )
+    broken = F.lit("x = 1\n")
+    return shaped.withColumn("code", F.when(c("brand") == "Brand#9", broken).otherwise(code))
+
+
+def part_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A docstring per part, with missing and invented claims for some brands."""
+    from ledgerloom.operators.corpus import render_docstring
+
+    c = F.col
+    entry = lambda name: F.struct(F.lit(name).alias("name"), F.lit("a value").alias("text"))
+    known = F.array(
+        F.array(entry("q"), entry("r")), F.array(entry("q")), F.array(entry("q"), entry("*rest")),
+        F.array(entry("q"), entry("key"), entry("**extra")),
+    )
+    args = F.element_at(known, c("shape") + 1)
+    args = F.when(c("brand") == "Brand#5", F.slice(args, 1, 1)).when(c("brand") == "Brand#6", F.concat(args, F.array(entry("ghost")))).otherwise(args)
+    error = F.when(c("size") % 2 == 0, "ValueError").otherwise("errors.BadPart")
+    raised = F.array(F.struct(error.alias("name"), F.lit("the part is bad").alias("text")))
+    no_entries = F.slice(raised, 1, 0)
+    text = render_docstring(
+        F.concat(F.lit("Handle "), c("fn"), F.lit(".")),
+        F.when(c("size") % 4 == 0, " More about it. "),
+        args,
+        F.when((c("shape") != 2) & (c("size") % 5 != 0), "the value"),
+        F.when((c("shape") == 2) & (c("brand") != "Brand#8"), "values"),
+        F.when(c("raising") & (c("brand") != "Brand#4"), raised).when(c("brand") == "Brand#10", raised).otherwise(no_entries),
+    )
+    wrapped = F.when(c("brand") == "Brand#11", F.concat(F.lit("```python\n"), text, F.lit("\n```"))).when(
+        c("brand") == "Brand#12", F.concat(F.lit('"""'), text, F.lit('\n"""'))
+    ).when(c("brand") == "Brand#13", F.lit("Args:\n    q: alone")).otherwise(text)
+    return part_functions(spark, sf_dir).withColumn("docstring", wrapped)
