@@ -23,18 +23,13 @@ from ledgerloom.fixed_values import (
 from ledgerloom.functions.code_facts import code_facts
 from ledgerloom.functions.texts import unwrapped, word_tokens
 from ledgerloom.operators.ordered import with_hash_rank
-
-FACTS = T._parse_datatype_string(
-    "name string, params array<string>, first_arg string, is_async boolean, is_generator boolean, "
-    "returns_value boolean, raises array<string>, has_docstring boolean, code_lines int, "
-    "modules array<string>, error string"
-)
+from ledgerloom.schemas import CODE_FACTS
 
 
 def with_code_facts(df: DataFrame, code: str = "code") -> DataFrame:
     """Add ``facts``, a struct read from the syntax tree of each code text, in Arrow batches without a shuffle."""
-    schema = T.StructType(df.schema.fields + [T.StructField("facts", FACTS)])
-    names = FACTS.fieldNames()
+    schema = T.StructType(df.schema.fields + [T.StructField("facts", CODE_FACTS)])
+    names = CODE_FACTS.fieldNames()
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

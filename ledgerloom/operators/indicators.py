@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ledgerloom.fixed_values import (
     BAND_STDS,
@@ -20,11 +20,13 @@ from ledgerloom.functions.numbers import finite
 from ledgerloom.operators.bars import latest_bars
 from ledgerloom.operators.smoothing import latest_smoothed_native, with_rsi_and_macd
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
 
+def _by_date() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
-def _frame(n: int):
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+
+def _frame(n: int) -> WindowSpec:
+    return _by_date().rowsBetween(-(n - 1), 0)
 
 
 def _full(value: Column, source: Column, n: int) -> Column:
@@ -47,7 +49,7 @@ def band_columns(price: Column, n: int = BAND_WINDOW, stds: float = BAND_STDS) -
 
 
 def with_log_return(bars: DataFrame, price: str = "close") -> DataFrame:
-    before = F.lag(price).over(BY_DATE)
+    before = F.lag(price).over(_by_date())
     ratio = F.try_divide(F.col(price), before)
     return bars.withColumn("log_return", finite(F.when(ratio > 0, F.log(ratio))))
 
@@ -123,7 +125,7 @@ def volatility_rank(bars: DataFrame, window: int = VOLATILITY_WINDOW, days: int
 
 def value_back(column: str, k: int) -> Column:
     """The column's value ``k`` bars earlier; NULL if missing or not finite."""
-    return finite(F.lag(column, k).over(BY_DATE)) if k else finite(column)
+    return finite(F.lag(column, k).over(_by_date())) if k else finite(column)
 
 
 def recompute_audit(bars: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Run traces: run tables, summaries, timelines, messages, steps, tool statistics and replan cycles.
 
 A trace table has one row per event: ts, run_id, seq (unique write order), event,
-and the per-event columns of :data:`ledgerloom.sources.jsonl.TRACE_SCHEMA`.
+and the per-event columns of :data:`ledgerloom.schemas.TRACE_SCHEMA`.
 """
 
 from __future__ import annotations

@@ -25,5 +25,5 @@ def market_brief(
     noted = summary.join(extra, "ticker", "left").withColumn(
         "warnings", F.concat("warnings", F.coalesce("news_warnings", F.array().cast("array<string>")))
     ).drop("news_warnings")
-    lines = facts.technical_facts(priced, summary).join(facts.sentiment_facts(mood), "ticker", "left").select("ticker", "facts")
+    lines = facts.technical_facts(priced, summary)
     return reports.market_briefs(noted, lines, sections, recommendations, mood, generated_at)

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.texts import blank_to_null, rfc822_utc, squeezed, without_publisher
-
-RSS_SCHEMA = T._parse_datatype_string(
-    "channel struct<item:array<struct<title:string,pubDate:string,link:string,"
-    "source:struct<_VALUE:string,_url:string>>>>"
-)
+from ledgerloom.schemas import RSS_SCHEMA
 
 
 def _parsed(feeds: DataFrame) -> DataFrame:

@@ -4,26 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-TRACE_SCHEMA = T._parse_datatype_string(
-    "ts timestamp, run_id string, seq bigint, event string, agent string, tool string, args string, why string, "
-    "status string, output string, output_chars bigint, duration_ms double, cache_hit boolean, turn bigint, "
-    "model string, tool_calls array<string>, text string, tokens bigint, sender string, receiver string, "
-    "schema string, step string, content string, generated_by string, risks array<string>, hedge string, "
-    "action string, path string, reason string, warnings array<string>"
-)
-CALL_LOG_SCHEMA = T._parse_datatype_string(
-    "ts timestamp, profile string, prompt string, prompt_version string, schema string, provider string, "
-    "model string, outcome string, attempts bigint, sdk_retries bigint, latency_ms double, prompt_tokens bigint, "
-    "completion_tokens bigint, errors array<string>, raw_excerpt string, choice string, "
-    "probabilities map<string,double>"
-)
-FUNCTION_SCHEMA = T._parse_datatype_string("id string, topic string, kind string, level string, code string")
-LABEL_SCHEMA = T._parse_datatype_string(
-    "id string, docstring string, label string, missing array<string>, invented array<string>"
-)
-CHAT_SCHEMA = T._parse_datatype_string(
-    "id string, topic string, kind string, level string, messages array<struct<role:string,content:string>>"
-)
 CORRUPT = "_corrupt_record"
 
 

@@ -76,7 +76,7 @@ def range_violations(spark, d):
 
 def _figures(spark, d):
     bars = D.flag_fundamentals(spark, d).select("ticker").unionByName(
-        spark.createDataFrame([("Z",)], "ticker string")
+        spark.range(1).select(F.lit("Z").alias("ticker"))
     )
     return R.figures(bars, MK._snapshot(spark, d), I.volatility_rank(MK._bars(spark, d), 63), S.summarise(_scored(spark, d), ["ticker"]))
 

@@ -8,7 +8,8 @@ from ledgerloom.fixed_values import TOOLS
 from ledgerloom.operators import evidence as E
 from ledgerloom.operators import traces as T
 from ledgerloom.plans import bindings as D
-from ledgerloom.sources.jsonl import TRACE_SCHEMA, parse_lines
+from ledgerloom.schemas import TRACE_SCHEMA
+from ledgerloom.sources.jsonl import parse_lines
 
 KINDS = ["agent_turn", "cache", "critique", "handoff", "tool_call"]
 
