@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.session import spread
+
 TICK_ORDER = "l_orderkey, l_linenumber, l_partkey"
 
 
@@ -203,7 +205,7 @@ def part_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     more brands get broken code and code that already has a docstring.
     """
     c = F.col
-    base = table(spark, sf_dir, "part").select(
+    base = spread(table(spark, sf_dir, "part")).select(
         c("p_partkey").alias("seq"),
         F.lower("p_type").alias("topic"),
         F.when(c("p_size") < 17, "simple").when(c("p_size") < 34, "medium").otherwise("tricky").alias("level"),

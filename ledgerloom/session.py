@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,3 +45,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, over all cores when it came in fewer partitions than there are cores.
+
+    Heavy per-row work on a single small file would otherwise run in one task. Tables
+    of many files are left alone, so nothing large is shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -9,6 +9,7 @@ from ledgerloom.operators import corpus as C
 from ledgerloom.operators import scores as S
 from ledgerloom.operators import similar as M
 from ledgerloom.plans import bindings as D
+from ledgerloom.session import shared_dir, spread
 
 
 def _functions(spark, d):
@@ -228,7 +229,7 @@ def rouge_l(spark, d):
 
 def rouge_l_documents(spark, d):
     """Every document against the text of the same source and language with the next number."""
-    docs = D.table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(D.table(spark, d, "documents").select("doc_id", "text"))
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference"))
     out = S.with_rouge_l(docs.join(nxt, "doc_id"), "text", "reference")
     return out.select("doc_id", F.round("rouge_l", 6).alias("rouge_l"))
@@ -318,23 +319,24 @@ def marker_audit(spark, d):
 
 def similar_pairs(spark, d):
     """All pairs of distinct texts with similarity of at least 0.8."""
-    docs = D.table(spark, d, "documents")
-    pairs = M.similar_sets(M.distinct_sets(M.shingle_sets(docs, "doc_id", "text")))
+    docs = spread(D.table(spark, d, "documents"))
+    reps = M.stored(M.distinct_sets(M.shingle_sets(docs, "doc_id", "text")), shared_dir(spark, "sets"))
+    pairs = M.similar_sets(reps)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 def most_similar_pairs(spark, d):
-    out = M.most_similar_pairs(D.table(spark, d, "documents"), 5, "doc_id", "text")
+    out = M.most_similar_pairs(spread(D.table(spark, d, "documents")), 5, "doc_id", "text", store=shared_dir(spark, "sets"))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 def most_similar_200_pairs(spark, d):
-    out = M.most_similar_pairs(D.table(spark, d, "documents"), 200, "doc_id", "text")
+    out = M.most_similar_pairs(spread(D.table(spark, d, "documents")), 200, "doc_id", "text", store=shared_dir(spark, "sets"))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 def near_copies_found(spark, d):
-    return M.has_near_copies(M.most_similar_pairs(D.table(spark, d, "pages"), 5, "page_id", "html"))
+    return M.has_near_copies(M.most_similar_pairs(spread(D.table(spark, d, "pages")), 5, "page_id", "html", store=shared_dir(spark, "sets")))
 
 
 PARTS = """p0 AS (SELECT p_partkey AS seq, lower(p_type) AS topic, CASE WHEN p_size < 17 THEN 'simple' WHEN p_size < 34 THEN 'medium' ELSE 'tricky' END AS level,
