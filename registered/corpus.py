@@ -380,7 +380,10 @@ len AS (SELECT *, len(regexp_extract_all(code, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]'))
 GRAMS = """t AS (SELECT {key} AS id, regexp_replace({text}, '[\\s\\x{{85}}\\pZ\\x{{1c}}-\\x{{1f}}]+', ' ', 'g') AS s FROM {src}),
 g AS (SELECT id, list_sort(list_distinct(list_transform(range(0, greatest(length(s) - 5, 0) + 1), lambda i: hash(s[i + 1 : i + 5])))) AS grams FROM t),
 reps AS (SELECT grams, min(id) AS id, len(any_value(grams)) AS n, list_sort(list(id)) AS ids FROM g GROUP BY grams),
-pairs AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, a.ids AS ia, b.ids AS ib, a.n AS an, b.n AS bn, len(list_intersect(a.grams, b.grams)) AS x FROM reps a JOIN reps b ON a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+bits AS (SELECT id, bitstring_agg(CAST(h % 8192 AS INT), 0, 8191) AS bits FROM (SELECT id, unnest(grams) AS h FROM reps) GROUP BY id),
+near AS MATERIALIZED (SELECT a.id AS p, b.id AS q FROM (SELECT id, n, bits FROM reps JOIN bits USING (id)) a JOIN (SELECT id, n, bits FROM reps JOIN bits USING (id)) b
+  ON a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) AND bit_count(xor(a.bits, b.bits)) <= 0.2 / 1.8 * (a.n + b.n) + 0.001),
+pairs AS (SELECT p AS a, q AS b, a.ids AS ia, b.ids AS ib, a.n AS an, b.n AS bn, len(list_intersect(a.grams, b.grams)) AS x FROM near JOIN reps a ON a.id = p JOIN reps b ON b.id = q),
 sim AS (SELECT *, x / (an + bn - x)::DOUBLE AS s FROM pairs WHERE x / (an + bn - x)::DOUBLE >= 0.8),
 every AS (SELECT ids[i] AS a, ids[j] AS b, 1.0::DOUBLE AS s FROM (SELECT ids, unnest(range(1, len(ids) + 1)) AS i FROM reps), LATERAL (SELECT unnest(range(i + 1, len(ids) + 1)) AS j)
   UNION ALL SELECT least(x, y), greatest(x, y), s FROM (SELECT unnest(ia) AS x, ib, s FROM sim), LATERAL (SELECT unnest(ib) AS y))"""
