@@ -70,25 +70,32 @@ def stretch_flags() -> Column:
     )
 
 
+SIGNAL_COLUMNS = ["close", "sma_50", "sma_200", "macd", "macd_signal", "macd_hist", "rsi_14", "bb_pct_b"]
+
+
+def with_signal(latest: DataFrame) -> DataFrame:
+    """Add label, score, votes, flags and unavailable to one-row-per-ticker latest values.
+
+    ``latest`` holds :data:`SIGNAL_COLUMNS` and ``hist_yesterday``.
+    """
+    score = F.aggregate("votes", F.lit(0), lambda total, v: total + v["vote"])
+    gone = F.filter("votes", lambda v: F.exists(F.map_values(v["inputs"]), lambda x: x.isNull()))
+    voted = latest.withColumn("votes", F.array(*[_vote(*rule) for rule in RULES])).withColumn("score", score)
+    return voted.withColumns(
+        {
+            "label": score_label(F.col("score")),
+            "flags": stretch_flags(),
+            "unavailable": F.transform(gone, lambda v: v["name"]),
+        }
+    )
+
+
 def momentum_signal(bars: DataFrame) -> DataFrame:
     """One row per ticker from bars with indicators: as_of, label, score, votes, flags, unavailable."""
-    two = latest_bars(bars, 2)
     last = F.col("back") == 0
-    needed = ["close", "sma_50", "sma_200", "macd", "macd_signal", "macd_hist", "rsi_14", "bb_pct_b"]
-    latest = two.groupBy("ticker").agg(
+    latest = latest_bars(bars, 2).groupBy("ticker").agg(
         F.max(F.when(last, F.col("date"))).alias("as_of"),
-        *[F.max(F.when(last, F.col(c))).alias(c) for c in needed],
+        *[F.max(F.when(last, F.col(c))).alias(c) for c in SIGNAL_COLUMNS],
         F.max(F.when(~last, F.col("macd_hist"))).alias("hist_yesterday"),
     )
-    voted = latest.withColumn("votes", F.array(*[_vote(*rule) for rule in RULES]))
-    score = F.aggregate("votes", F.lit(0), lambda total, v: total + v["vote"])
-    gone = F.filter("votes", lambda v: F.exists(F.map_values(v["inputs"]), lambda x: x.isNull()))
-    return voted.withColumn("score", score).select(
-        "ticker",
-        "as_of",
-        score_label(F.col("score")).alias("label"),
-        "score",
-        "votes",
-        stretch_flags().alias("flags"),
-        F.transform(gone, lambda v: v["name"]).alias("unavailable"),
-    )
+    return with_signal(latest).select("ticker", "as_of", "label", "score", "votes", "flags", "unavailable")

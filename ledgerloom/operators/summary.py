@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.fixed_values import FIFTY_TWO_WEEK_DAYS, SUMMARY_INDICATORS
 from ledgerloom.functions.numbers import finite, rounded
 from ledgerloom.functions.texts import blank_to_null
-from ledgerloom.operators.bars import latest_bars
-from ledgerloom.operators.signals import momentum_signal
+from ledgerloom.operators.signals import SIGNAL_COLUMNS, with_signal
 
 
 def fifty_two_week_range(bars: DataFrame, today: Column) -> DataFrame:
@@ -85,24 +84,41 @@ def pe_warning(current: Column, pe: Column, eps: Column) -> Column:
     )
 
 
+def latest_figures(bars: DataFrame, today: Column) -> DataFrame:
+    """Per ticker, in one pass over bars with indicators: price, year base, 52-week range, latest indicators, signal."""
+    date = F.col("date")
+    priced = F.when(F.col("close").isNotNull(), date)
+    early = F.when(F.col("close").isNotNull() & (date < F.trunc(today, "year")), date)
+    inside = date >= F.date_sub(today, FIFTY_TWO_WEEK_DAYS)
+    before = F.lag("macd_hist").over(Window.partitionBy("ticker").orderBy("date"))
+    kept = list(dict.fromkeys([*SIGNAL_COLUMNS, *SUMMARY_INDICATORS]))
+    latest = bars.withColumn("hist_before", before).groupBy("ticker").agg(
+        F.max(priced).alias("as_of"),
+        F.max_by("close", priced).alias("current"),
+        F.max_by("close", early).alias("base"),
+        F.max(F.when(inside, F.col("high"))).alias("high_52w"),
+        F.min(F.when(inside, F.col("low"))).alias("low_52w"),
+        F.max_by("hist_before", "date").alias("hist_yesterday"),
+        *[F.max_by(c, "date").alias(c) for c in kept],
+    )
+    change = F.when(F.col("base") > 0, (F.col("current") / F.col("base") - 1) * 100.0)
+    return with_signal(latest.withColumn("ytd_return_pct", change))
+
+
 def market_summary(
-    tickers: DataFrame, bars: DataFrame, facts: DataFrame, today: Column, fetch_warnings: DataFrame | None = None
+    bars: DataFrame, facts: DataFrame, today: Column, tickers: DataFrame | None = None,
+    fetch_warnings: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per ticker of ``tickers``: every figure rounded to two decimals, missing ones explained.
+    """One row per ticker: every figure rounded to two decimals, missing ones explained.
 
-    ``bars`` carries indicators, ``facts`` is :func:`fundamentals`, and
-    ``fetch_warnings`` may hold (ticker, warnings ARRAY<STRING>) from reading. All
-    inputs to the joins are one row per ticker.
+    ``bars`` carries indicators and ``facts`` is :func:`fundamentals`. ``tickers`` adds
+    rows for tickers without bars, and ``fetch_warnings`` may hold (ticker, warnings
+    ARRAY<STRING>) from reading. All inputs to the joins are one row per ticker.
     """
-    latest = latest_bars(bars).select("ticker", *SUMMARY_INDICATORS)
-    joined = (
-        tickers.select("ticker").distinct()
-        .join(ytd_return(bars, today), "ticker", "left")
-        .join(fifty_two_week_range(bars, today), "ticker", "left")
-        .join(momentum_signal(bars), "ticker", "left")
-        .join(latest, "ticker", "left")
-        .join(facts, "ticker", "left")
-    )
+    joined = latest_figures(bars, today)
+    if tickers is not None:
+        joined = tickers.select("ticker").distinct().join(joined, "ticker", "left")
+    joined = joined.join(facts, "ticker", "left")
     if fetch_warnings is None:
         joined = joined.withColumn("fetch_warnings", F.array().cast("array<string>"))
     else:

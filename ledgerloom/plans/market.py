@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.operators import facts, reports, sentiment as S
-from ledgerloom.operators.indicators import add_indicators
 from ledgerloom.operators.summary import market_summary
 
 
 def market_brief(
-    bars: DataFrame, fundamentals: DataFrame, headlines: DataFrame, primary: DataFrame, secondary: DataFrame,
+    priced: DataFrame, fundamentals: DataFrame, headlines: DataFrame, primary: DataFrame, secondary: DataFrame,
     key: list[str], answers: DataFrame, today: Column, generated_at: Column,
 ) -> DataFrame:
-    """(ticker, markdown). ``bars`` are cleaned daily bars; everything is computed for all tickers at once."""
-    priced = add_indicators(bars)
-    summary = market_summary(bars, priced, fundamentals, today)
+    """(ticker, markdown). ``priced`` are cleaned daily bars with indicators; all tickers are computed at once.
+
+    It is read twice, so pass a stored table.
+    """
+    summary = market_summary(priced, fundamentals, today)
     scored = S.score_headlines(headlines, primary, secondary, key)
     mood = S.summarise(scored, ["ticker"])
-    sections = reports.sentiment_section(mood, S.strongest(scored, ["ticker"], "ord"), bars)
-    recommendations = reports.with_placeholder(bars, answers)
+    sections = reports.sentiment_section(mood, S.strongest(scored, ["ticker"], "ord"), fundamentals)
+    recommendations = reports.with_placeholder(fundamentals, answers)
     notes = S.quality_warnings(mood.join(recommendations.select("ticker", "ok"), "ticker"), F.col("ok"))
     extra = notes.select("ticker", F.col("warnings").alias("news_warnings"))
     noted = summary.join(extra, "ticker", "left").withColumn(

@@ -55,3 +55,11 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """The table written to a shared folder and read back, so that several uses share one computation."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from ledgerloom.operators import corpus as C
 from ledgerloom.operators import scores as S
 from ledgerloom.operators import similar as M
 from ledgerloom.plans import bindings as D
-from ledgerloom.session import shared_dir, spread
+from ledgerloom.session import shared_dir, spread, stored
 
 
 def _functions(spark, d):
@@ -320,7 +320,7 @@ def marker_audit(spark, d):
 def similar_pairs(spark, d):
     """All pairs of distinct texts with similarity of at least 0.8."""
     docs = spread(D.table(spark, d, "documents"))
-    reps = M.stored(M.distinct_sets(M.shingle_sets(docs, "doc_id", "text")), shared_dir(spark, "sets"))
+    reps = stored(M.distinct_sets(M.shingle_sets(docs, "doc_id", "text")), shared_dir(spark, "sets"))
     pairs = M.similar_sets(reps)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 

@@ -7,12 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.operators import bars as B
 from ledgerloom.operators import facts, hedge, indicators as I, signals, smoothing as S, summary
 from ledgerloom.plans import bindings as D
+from ledgerloom.session import shared_dir, stored
 
 
 def _bars(spark, d):
     return B.bars_from_ticks(D.ticks(spark, d))
 
 
+def _stored_bars(spark, d):
+    """Daily bars kept in the shared folder: for queries that read them more than once."""
+    return stored(_bars(spark, d), shared_dir(spark, "bars"))
+
+
+def _priced(spark, d):
+    """Bars with every indicator, stored."""
+    return stored(I.add_indicators(_bars(spark, d)), shared_dir(spark, "priced"))
+
+
 def _clean_orders(spark, d):
     return B.clean_bars(D.order_bars(spark, d))
 
@@ -100,7 +111,7 @@ def all_indicators(spark, d):
 
 
 def indicator_audit(spark, d):
-    return I.recompute_audit(_bars(spark, d)).select("ticker", "agrees")
+    return I.recompute_audit(_stored_bars(spark, d)).select("ticker", "agrees")
 
 
 def values_back(spark, d):
@@ -131,9 +142,8 @@ def year_base_as_of(spark, d):
 
 
 def period_statistics(spark, d):
-    bars = _bars(spark, d)
-    w = I.with_window_indicators(bars)
-    out = B.period_stats(w, D.last_date(bars), "1y")
+    w = stored(I.with_window_indicators(_bars(spark, d)), shared_dir(spark, "windows"))
+    out = B.period_stats(w, D.last_date(w), "1y")
     return _round(out, 4, "period_return_pct", "close_vs_sma_50_pct", "close_vs_sma_200_pct")
 
 
@@ -193,15 +203,13 @@ def pe_fallback(spark, d):
     )
 
 
-def _summary(spark, d):
-    bars = _bars(spark, d)
-    w = I.add_indicators(bars)
+def _summary(spark, d, priced):
     companies = summary.fundamentals(D.flag_fundamentals(spark, d))
-    return w, summary.market_summary(bars, w, companies, D.last_date(bars))
+    return summary.market_summary(priced, companies, D.last_date(priced))
 
 
 def market_summary(spark, d):
-    out = _summary(spark, d)[1]
+    out = _summary(spark, d, _priced(spark, d))
     return out.select(
         "ticker", "company_name", "currency", "as_of", "current_price", "high_52w", "low_52w", "pe_ratio",
         "ytd_return_pct",
@@ -230,20 +238,19 @@ def range_positions(spark, d):
 
 
 def technical_fact_lines(spark, d):
-    w, out = _summary(spark, d)
-    lines = facts.technical_facts(w, out)
+    priced = _priced(spark, d)
+    lines = facts.technical_facts(priced, _summary(spark, d, priced))
     return lines.select("ticker", F.posexplode("facts").alias("line_no", "line"))
 
 
 def expected_moves(spark, d):
-    rows = I.volatility_series(_bars(spark, d)).join(_bars(spark, d).select("ticker", "date", "close"), ["ticker", "date"])
-    move = hedge.expected_move(F.col("close"), F.col("volatility") * 100.0)
-    return rows.select("ticker", "date", F.round(move, 2).alias("expected_move"))
+    w = I.with_window_indicators(_bars(spark, d)).where("hv_30 is not null")
+    move = hedge.expected_move(F.col("close"), F.col("hv_30") * 100.0)
+    return w.select("ticker", "date", F.round(move, 2).alias("expected_move"))
 
 
-def _vol_results(spark, d):
+def _vol_results(bars):
     """Three volatility results per ticker: windows 30, 60 and 66, the last two tied around the horizon."""
-    bars = _bars(spark, d)
     out = None
     for call_no, window in enumerate((30, 60, 66), 1):
         one = I.volatility_rank(bars, window).withColumn("call_no", F.lit(call_no))
@@ -252,24 +259,21 @@ def _vol_results(spark, d):
 
 
 def horizon_volatility(spark, d):
-    best = hedge.horizon_volatility(_vol_results(spark, d))
+    best = hedge.horizon_volatility(_vol_results(_stored_bars(spark, d)))
     return best.select("ticker", "window", "call_no", F.round("current_pct", 4).alias("current_pct"))
 
 
-def _snapshot(spark, d):
-    bars = _bars(spark, d)
-    w = I.add_indicators(bars)
-    return B.price_snapshot(w, B.period_stats(w, D.last_date(bars), "1y"))
+def _snapshot(priced):
+    return B.price_snapshot(priced, B.period_stats(priced, D.last_date(priced), "1y"))
 
 
 def price_snapshots(spark, d):
-    return _snapshot(spark, d)
+    return _snapshot(_priced(spark, d))
 
 
 def price_digests(spark, d):
-    bars = _bars(spark, d)
-    w = I.add_indicators(bars)
-    out = B.price_digest(w, B.period_stats(w, D.last_date(bars), "1y"))
+    w = _priced(spark, d)
+    out = B.price_digest(w, B.period_stats(w, D.last_date(w), "1y"))
     return out.select(
         "ticker", "as_of", "close", "period_high", F.col("indicators")["rsi_14"].alias("rsi_14"),
         F.size("last_bars").alias("bars_shown"),
@@ -279,8 +283,8 @@ def price_digests(spark, d):
 
 
 def hedge_candidates(spark, d):
-    best = hedge.horizon_volatility(_vol_results(spark, d))
-    levels = hedge.hedge_levels(_snapshot(spark, d), best)
+    priced = _priced(spark, d)
+    levels = hedge.hedge_levels(_snapshot(priced), hedge.horizon_volatility(_vol_results(priced)))
     return levels.select(
         "ticker", "price", "volatility_pct", "volatility_source", "expected_move", "expected_move_pct",
         F.explode("candidates").alias("c"),
@@ -288,7 +292,8 @@ def hedge_candidates(spark, d):
 
 
 def hedge_legs_priced(spark, d):
-    levels = hedge.hedge_levels(_snapshot(spark, d), I.volatility_rank(_bars(spark, d), 63))
+    priced = _priced(spark, d)
+    levels = hedge.hedge_levels(_snapshot(priced), I.volatility_rank(priced, 63))
     legs = (
         D.table(spark, d, "lineitem")
         .groupBy(F.col("l_returnflag").alias("ticker"), F.col("l_linenumber").alias("leg_no"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.texts import markdown_escaped, sentence_count
-from ledgerloom.operators import bars as B
 from ledgerloom.operators import evidence as E
 from ledgerloom.operators import facts, hedge, indicators as I, news as N, reports as R, sentiment as S, summary
 from ledgerloom.plans import bindings as D
@@ -74,24 +73,26 @@ def range_violations(spark, d):
     return out.groupBy(F.array_join("violations", "; ").alias("violations")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _figures(spark, d):
-    bars = D.flag_fundamentals(spark, d).select("ticker").unionByName(
-        spark.range(1).select(F.lit("Z").alias("ticker"))
-    )
-    return R.figures(bars, MK._snapshot(spark, d), I.volatility_rank(MK._bars(spark, d), 63), S.summarise(_scored(spark, d), ["ticker"]))
+def _figures(spark, d, priced):
+    tickers = D.flag_fundamentals(spark, d).select("ticker").unionByName(spark.range(1).select(F.lit("Z").alias("ticker")))
+    return R.figures(tickers, MK._snapshot(priced), I.volatility_rank(priced, 63), S.summarise(_scored(spark, d), ["ticker"]))
+
+
+def _levels(priced):
+    return hedge.hedge_levels(MK._snapshot(priced), I.volatility_rank(priced, 63))
 
 
-def _levels(spark, d):
-    return hedge.hedge_levels(MK._snapshot(spark, d), I.volatility_rank(MK._bars(spark, d), 63))
+def _templates(spark, d, priced):
+    return R.template_reports(_figures(spark, d, priced), _levels(priced))
 
 
 def template_observations(spark, d):
-    out = R.template_observations(_figures(spark, d))
+    out = R.template_observations(_figures(spark, d, MK._priced(spark, d)))
     return out.select("ticker", F.posexplode("observations").alias("n", "observation"))
 
 
 def template_reports(spark, d):
-    out = R.template_reports(_figures(spark, d), _levels(spark, d))
+    out = _templates(spark, d, MK._priced(spark, d))
     return out.select(
         "ticker", "summary", "strategy", F.col("legs")[0]["instrument"].alias("instrument"),
         F.col("risks")[1]["evidence"][0]["fact"].alias("volatility_fact"), F.col("risks")[2]["evidence"][0]["fact"].alias("news_fact"),
@@ -111,13 +112,14 @@ def _answers(spark, d):
 
 
 def chosen_reports(spark, d):
-    out = R.choose_reports(R.template_reports(_figures(spark, d), _levels(spark, d)), _answers(spark, d))
+    out = R.choose_reports(_templates(spark, d, MK._priced(spark, d)), _answers(spark, d))
     return out.select("ticker", "generated_by", "strategy", F.array_join("warnings", "; ").alias("warnings"))
 
 
 def report_documents(spark, d):
-    chosen = R.choose_reports(R.template_reports(_figures(spark, d), _levels(spark, d)), _answers(spark, d))
-    return R.report_markdown(chosen, D.last_date(MK._bars(spark, d)))
+    priced = MK._priced(spark, d)
+    chosen = R.choose_reports(_templates(spark, d, priced), _answers(spark, d))
+    return R.report_markdown(chosen, D.last_date(priced))
 
 
 def escaped_markdown(spark, d):
@@ -137,12 +139,12 @@ def sentiment_fact_lines(spark, d):
 
 def market_briefs(spark, d):
     """The whole market brief of every ticker, from ticks and documents to Markdown."""
-    bars = MK._bars(spark, d)
+    priced = MK._priced(spark, d)
     return market_brief(
-        bars, summary.fundamentals(D.flag_fundamentals(spark, d)), _headlines(spark, d), D.primary_decisions(spark, d),
+        priced, summary.fundamentals(D.flag_fundamentals(spark, d)), _headlines(spark, d), D.primary_decisions(spark, d),
         D.secondary_labels(spark, d), ["ord"], _recommendations(spark, d).where("turn = 1").groupBy(F.lit("A").alias("ticker")).agg(
             F.max("recommendation").alias("recommendation"), F.lit("One. Two. Three.").alias("justification"), F.max("key_factors").alias("key_factors")),
-        D.last_date(bars), F.lit("2024-02-01 00:00:00").cast("timestamp"),
+        D.last_date(priced), F.lit("2024-02-01 00:00:00").cast("timestamp"),
     )
 
 
@@ -171,12 +173,13 @@ def fulfilled_requests(spark, d):
 
 
 def data_briefs(spark, d):
-    found = _figures(spark, d)
+    priced = MK._priced(spark, d)
+    found = _figures(spark, d, priced)
     keyed = TR._observations(spark, d).withColumn("run_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("seq") % 3 + 1).cast("int"))).where("duration_ms > 300")
     gaps = E.data_gaps(keyed, keyed, ["get_price_data", "calculate_volatility", "llm_sentiment"]).withColumnRenamed("run_id", "ticker")
     tools = E.ok_tools(keyed).withColumnRenamed("run_id", "ticker")
     given = _headlines(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines_given"))
-    out = R.data_briefs(found, _levels(spark, d), R.template_observations(found), gaps, tools, given)
+    out = R.data_briefs(found, _levels(priced), R.template_observations(found), gaps, tools, given)
     return out.select(
         "ticker", "headlines_given", F.col("price.close").alias("close"), F.col("volatility.window").alias("window"),
         F.round("sentiment.score", 4).alias("score"), F.size("hedge_levels.candidates").alias("levels"),
