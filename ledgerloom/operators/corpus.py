@@ -224,7 +224,8 @@ def name_words(facts: DataFrame) -> DataFrame:
         "seq", F.posexplode(F.split(F.lower("facts.name"), "_")).alias("at", "word")
     )
     kept = words.where((F.col("word") != "") & ~F.col("word").isin(NAME_STOPWORDS))
-    return kept.groupBy("word").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("seq", "at")).alias("first"))
+    place = F.col("seq").cast("decimal(20,0)") * 1_000_000 + F.col("at")
+    return kept.groupBy("word").agg(F.count(F.lit(1)).alias("uses"), F.min(place).alias("first"))
 
 
 def most_common(counts: DataFrame, count: str, first: str, n: int) -> DataFrame:

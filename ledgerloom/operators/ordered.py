@@ -64,23 +64,22 @@ def with_hash_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], column: str, fractions: list[float], bins: int = 1024
+    df: DataFrame, keys: list[str], column: str, fractions: list[float], bins: int = 128
 ) -> DataFrame:
     """(keys, fraction, value): exact quantiles with linear interpolation, for keys of any size.
 
-    Equal values are counted first. Distinct values are placed in ``bins`` equal-width
-    bins per key, ranks are found from the bin counts, and only bins that hold a
-    wanted rank are ordered.
+    Equal values are counted first. Approximate percentiles of a key's distinct values
+    cut it into bins of similar size whatever the distribution; ranks are found from the
+    bin counts, and only bins that hold a wanted rank are ordered. The cuts decide how
+    the work is split, never the result.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    span = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_rows")
-    )
-    joined = counted.join(span, keys) if keys else counted.crossJoin(F.broadcast(span))
-    place = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * bins
-    binned = joined.withColumn("_bin", F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1)))
+    edges = F.percentile_approx("_v", [i / bins for i in range(1, bins)] if bins > 1 else [0.5], 10_000)
+    cuts = counted.groupBy(*keys).agg(F.array_distinct(edges).alias("_cuts"), F.sum("_n").alias("_rows"))
+    joined = counted.join(cuts, keys) if keys else counted.crossJoin(F.broadcast(cuts))
+    binned = joined.withColumn("_bin", F.size(F.filter("_cuts", lambda edge: edge < F.col("_v")))).drop("_cuts")
     totals = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"), F.max("_rows").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
