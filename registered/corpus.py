@@ -513,4 +513,10 @@ ORACLE = {
     "most_similar_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 5)",
     "most_similar_200_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 200)",
     "near_copies_found": f"WITH {GRAMS.format(key='page_id', text='html', src='pages')} SELECT count(*) > 0 AS near_copies FROM every",
+    "rouge_l": """WITH q AS (SELECT t.conv_id, t.turn, regexp_extract_all(lower(t.text), '[a-z0-9]+') AS p, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS r
+        FROM conversations t JOIN conversations b ON b.conv_id = t.conv_id AND b.turn + 1 = t.turn WHERE t.role = 'assistant'),
+      m AS (SELECT *, list_concat([list_transform(r, lambda x: 0)], list_transform(p, lambda x: list_transform(r, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))) AS steps FROM q),
+      l AS (SELECT *, CASE WHEN len(r) = 0 THEN 0 ELSE list_last(list_reduce(steps, lambda a, s: list_transform([list_transform(range(1, len(s) + 1), lambda i: CASE WHEN s[i] = 1 THEN CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END + 1 ELSE a[i] END)],
+        lambda d: list_transform(range(1, len(d) + 1), lambda j: list_max(d[1:j])))[1])) END AS x FROM m)
+      SELECT conv_id, turn, round(CASE WHEN len(p) + len(r) = 0 THEN 0 ELSE 2.0::DOUBLE * x / (len(p) + len(r)) END, 6) AS rouge_l FROM l""",
 }

@@ -347,4 +347,11 @@ ORACLE = {
     "saved_reports": """WITH s AS (SELECT source AS ticker, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source)
       SELECT ticker, unnest(['# ' || ticker, '', '- documents: ' || n, '- first: ' || first]) AS line FROM s""",
     "jsonl_round_trip": "SELECT source AS split, lang, count(*) AS rows FROM documents GROUP BY source, lang",
+    "data_briefs": f"""{FIG}, {TR.TRACE}, kd AS (SELECT (['A', 'N', 'R'])[seq % 3 + 1] AS tk, * FROM tr WHERE event = 'tool_call' AND duration_ms > 300),
+      c AS (SELECT tk, tool, count(*) FILTER (status = 'ok') AS ok, min(seq) FILTER (status = 'ok') AS first, arg_max(status, seq) AS st, arg_max(CASE WHEN status = 'error' THEN output WHEN status = 'empty' THEN 'slow; ' || tool ELSE 'no detail' END, seq) AS pr FROM kd GROUP BY tk, tool),
+      gp AS (SELECT a.tk, string_agg(CASE WHEN c.ok IS NULL THEN t.tool || ' was not called' ELSE t.tool || ' returned no usable result (' || st || ': ' || pr || ')' END, '; ' ORDER BY t.n) AS gaps
+        FROM (SELECT DISTINCT tk FROM kd) a CROSS JOIN (VALUES (0, 'get_price_data'), (1, 'calculate_volatility'), (2, 'llm_sentiment')) t(n, tool) LEFT JOIN c ON c.tk = a.tk AND c.tool = t.tool WHERE coalesce(c.ok, 0) = 0 GROUP BY a.tk),
+      tl AS (SELECT tk, string_agg(tool, ',' ORDER BY first) AS tools FROM c WHERE ok > 0 GROUP BY tk), hn AS (SELECT ticker, count(*) AS n FROM hd GROUP BY ticker)
+      SELECT fg.ticker, coalesce(hn.n, 0) AS headlines_given, close, win AS "window", round(score, 4) AS score, CASE WHEN close IS NOT NULL THEN 5 END AS levels, 3 AS observations, coalesce(gaps, '') AS data_gaps, coalesce(tools, '') AS tools
+      FROM fg LEFT JOIN hn USING (ticker) LEFT JOIN gp ON gp.tk = fg.ticker LEFT JOIN tl ON tl.tk = fg.ticker""",
 }
