@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import repetition
+from ledgerloom.llm import packing, repetition
 
-_MODULES = [repetition]
+_MODULES = [packing, repetition]
 
 
 def queries() -> dict:
