@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, compression, packing, repetition
+from ledgerloom.llm import chat, compression, packing, repetition, secrets
 
-_MODULES = [chat, compression, packing, repetition]
+_MODULES = [chat, compression, packing, repetition, secrets]
 
 
 def queries() -> dict:
