@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, compression, packing, repetition, secrets, spotsigs
+from ledgerloom.llm import chat, compression, oddsketch, packing, repetition, secrets, spotsigs
 
-_MODULES = [chat, compression, packing, repetition, secrets, spotsigs]
+_MODULES = [chat, compression, oddsketch, packing, repetition, secrets, spotsigs]
 
 
 def queries() -> dict:
