@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.llm.wordids import WordIds
+from ledgerloom.llm.wordids import word_ids
 from ledgerloom.session import shared_dir, stored
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = END_ID.to_bytes(4, "little")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for frame in frames:
             rows = []
             for key, text in zip(frame["id"], frame["text"], strict=True):

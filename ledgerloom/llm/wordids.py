@@ -1,31 +1,79 @@
-"""Token ids of whole texts by a tokenizer that drops white space, looked up word by word."""
+"""Token ids of whole texts by the BPE tokenizer with word ends, looked up word by word."""
 
 from __future__ import annotations
 
-import struct
+import functools
+import os
+import re
 
+import numpy as np
 
-class WordIds(dict):
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: How the tokenizer cuts folded Latin-1 text before its merges: contractions, letters, single digits, marks.
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_WIDE = re.compile("[^\x00-\xff]")
+_GAP = re.compile("[ \t\n\r]+")
+
+
+class WordIds:
     """Ids of each word as little-endian 32-bit bytes, encoded when the word is first met.
 
-    Splitting at space, tab and line ends gives the same ids as encoding the whole text when
-    white space is dropped and no token crosses it. The table is emptied at ``most`` entries,
-    so a worker's memory is bounded whatever the vocabulary.
+    The tokenizer folds case, drops white space and never merges across words, and each word's
+    last token is marked as a word end. So Latin-1 text is cut into words here, and new words are
+    encoded many at a time and parted at the word ends; other text is cut at white space
+    and encoded run by run. The ids are those of the whole text. When the table has ``most``
+    entries, those not met since it was last half full go: memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self._tokenizer, self._most = Tokenizer.from_file(path), most
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self._tokenizer = Tokenizer.from_file(path)
+        self._special = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        for token, k in self._tokenizer.get_vocab().items():
+            self._ends[k] = token.endswith("</w>")
+        self._now, self._old, self._half = {}, {}, most // 2
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._most:
-            self.clear()
-        ids = self._tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+    def _put(self, word: str, ids: bytes) -> None:
+        if len(self._now) >= self._half:
+            self._old, self._now = self._now, {}
+        self._now[word] = ids
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        found = {w: self._old.get(w) for w in words}
+        new = [w for w, ids in found.items() if ids is None]
+        latin = [w for w in new if not _WIDE.search(w)]
+        ids = self._ids(" ".join(latin))
+        cuts = np.flatnonzero(self._ends[ids]) + 1
+        if len(cuts) == len(latin):
+            packed, ends = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            found |= {w: packed[a:b] for w, a, b in zip(latin, ends[:-1], ends[1:], strict=True)}
+        found |= {w: self._ids(w).tobytes() for w in new if found[w] is None}
+        for w, of_word in found.items():
+            self._put(w, of_word)
+        return found
 
     def of(self, text: str) -> bytes:
-        plain = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return b"".join(map(self.__getitem__, plain.split(" ")))
+        low = text.lower()
+        if any(s in low for s in self._special):
+            return self._ids(text).tobytes()
+        if _WIDE.search(text):
+            words = [x for run in _GAP.split(text) for x in ([run] if _WIDE.search(run) else _WORD.findall(run.lower()))]
+        else:
+            words = _WORD.findall(low)
+        ids = list(map(self._now.get, words))
+        if None in ids:
+            learned = self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
+            ids = [learned[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return b"".join(ids)
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a worker."""
+    return WordIds(path)
