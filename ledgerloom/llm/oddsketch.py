@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import bytehash as B
+from ledgerloom.llm.bitmaps import may_be_among
 from ledgerloom.llm.graph import components
 from ledgerloom.session import shared_dir, stored
 
@@ -20,8 +21,6 @@ PERCENT = 75
 BANDS, SAMPLES = 40, 5
 #: Bits of an odd sketch, and the estimate below which a pair is not looked at: 4 deviations under the threshold.
 BITS, LEAST_ESTIMATE = 512, 0.55
-#: Bits of the bitmap by which texts that take part are told before the shuffle. More texts make it let more pass, none be missed.
-BITMAP = 1 << 23
 _K = BANDS * SAMPLES
 _DRAW = np.random.default_rng(7)
 _A, _C = _DRAW.integers(0, 1 << 31, _K, np.uint32) * np.uint32(2) + np.uint32(1), _DRAW.integers(0, 1 << 32, _K, np.uint32)
@@ -105,17 +104,6 @@ def _plausible(n: str, m: str, left: str, right: str) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_differing(left, right) <= MOST_BITS)
 
 
-def _only_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be among ``ids``, told by a bitmap of fixed size, without a shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(BITMAP // 32, "<u4")
-    for row in words:  # at most BITMAP / 32 rows
-        bitmap[row["word"]] = row["bits"]
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("_slot", slot).withColumn("_byte", byte).filter(F.expr("(shiftright(_byte, cast(_slot % 8 as int)) & 1) = 1")).drop("_slot", "_byte")
-
-
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 200) -> DataFrame:
     """Which of the pairs (lead, member) of set ids share PERCENT of the union of their whole sets, as links (a, b).
 
@@ -127,7 +115,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 2
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("member"), c("_salts")).cast("int").alias("salt"), F.lit(True).alias("is_member"), c("member").alias("set_id"))
     leads = members.select("lead", "salt").distinct().select("lead", "salt", F.lit(False).alias("is_member"), c("lead").alias("set_id"))
     needs = stored(members.unionByName(leads).join(sets.select("set_id", "doc_id"), "set_id"), shared_dir(docs.sparkSession, "needed"))
-    texts = _only_needed(docs, needs.select("doc_id")).join(needs, "doc_id").select("lead", "salt", "is_member", "set_id", "text")
+    texts = may_be_among(docs, needs, ["doc_id"]).join(needs, "doc_id").select("lead", "salt", "is_member", "set_id", "text")
     dealt = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "is_member")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
