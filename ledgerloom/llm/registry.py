@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, compression, linededup, oddsketch, packing, repetition, rollups, secrets, spotsigs
+from ledgerloom.llm import chat, compression, linededup, oddsketch, packing, pieces, repetition, rollups, secrets, spotsigs
 
-_MODULES = [chat, compression, linededup, oddsketch, packing, repetition, rollups, secrets, spotsigs]
+_MODULES = [chat, compression, linededup, oddsketch, packing, pieces, repetition, rollups, secrets, spotsigs]
 
 
 def queries() -> dict:
