@@ -6,7 +6,8 @@ step weighs its piece's score, or minus infinity where two pieces can't be neigh
 of text is a matrix in (max, +) from the states at its start to those at its end, a state
 being a piece that reaches the boundary and how far it reaches over it. Matrices of
 neighbouring chunks multiply associatively; when the states of all boundaries are known, each chunk
-is traced back on its own.
+is traced back on its own. Between places where no piece goes on, such as spaces, there is
+one state only, and the path is searched for once for every distinct string.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from ledgerloom.session import shared_dir, stored
 SPACE = "▁"
 #: Characters of a chunk; only longer texts are split.
 CHUNK = 65_536
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Before a space mark that follows another character no piece goes on.
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]*")
 _SAFE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 State = tuple[int, str]
@@ -58,6 +59,10 @@ class Pieces:
         self._begins = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.score
         if any(_SAFE.search(p) for p in self.ids):
             raise ValueError("this model has pieces that go on over a space")
+        # other places where no piece goes on, so that what stands between is looked up as a unit
+        marks = [m for m in "!\"#$%&()*+,-./:;<=>?@[]^_|~" if not any(re.search(f"[{_LETTERS}]{re.escape(m)}", p) for p in self.ids)]
+        parted = [f"(?<=[^{SPACE}])(?={SPACE})", f"(?<=[{_LETTERS}])(?=[{re.escape(''.join(marks))}])"]
+        self._parted = re.compile("|".join(parted + [r"(?<=\n)|(?=\n)"] * all("\n" not in p for p in self.ids)))
         self._most, self._follows, self._pairs, self._units = most, {}, 0, {}
 
     def merged(self, text: str) -> list[str]:
@@ -127,18 +132,52 @@ class Pieces:
         ids = [k for p in parts for k in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _choices(self, text: str, at: int) -> list[str]:
+        """What may come next, longest last."""
+        begins, found = self._begins, []
+        for to in range(at + 1, min(len(text), at + self.longest) + 1):
+            score = begins.get(text[at:to], self)
+            if score is self:
+                break
+            if score is not None:
+                found.append(text[at:to])
+        return found if found and len(found[0]) == 1 else [text[at], *found]
+
+    def path(self, text: str) -> list[str]:
+        """The one path through text that starts and ends where no piece goes on, longest steps tried first."""
+        failed = set()
+        stack = [(0, "", self._choices(text, 0))]
+        while True:
+            at, before, choices = stack[-1]
+            if at == len(text):
+                return [step[1] for step in stack[1:]]
+            known = self._known(before)
+            while choices:
+                piece = choices.pop()
+                ok = known.get(piece)
+                if ok is None:
+                    ok = known[piece] = self.follows(before, piece)
+                    self._pairs += 1
+                to = at + len(piece)
+                if ok and (to, piece) not in failed:
+                    stack.append((to, piece, self._choices(text, to) if to < len(text) else []))
+                    break
+            else:
+                failed.add((at, before))
+                stack.pop()
+
     def unit(self, text: str) -> bytes:
-        """Ids of a run of space marks and what follows it."""
+        """Ids of text that starts and ends where no piece goes on."""
         packed = self._units.get(text)
         if packed is None:
             if len(self._units) >= self._most:
                 self._units.clear()
-            packed = self._units[text] = self.pack(self.trace(self.paths(text, len(text), FRESH, True), len(text), 0))
+            packed = self._units[text] = self.pack(self.path(text)) if text else b""
         return packed
 
     def whole(self, text: str) -> bytes:
-        """Ids of text that starts and ends where no piece goes on."""
-        return b"".join(map(self.unit, _UNITS.findall(text)))
+        """Ids of text that starts and ends where no piece goes on, unit by unit."""
+        return b"".join(map(self.unit, self._parted.split(text))) if text else b""
 
     def entries(self, before: str, text: str) -> list[State]:
         """States possible at the start of ``text``: pieces that end there or reach over it."""
