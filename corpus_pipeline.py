@@ -17,8 +17,8 @@ from ledgerloom.session import shared_dir, stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score is below the threshold; learns from labelled documents of the input."""
     model = compression.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = compression.with_score(docs, model, docs.columns)
-    return scored.filter(F.col("score") >= compression.THRESHOLD).select(docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), "text")
+    return compression.with_score(rows, model, ["row"]).filter(F.col("score") >= compression.THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

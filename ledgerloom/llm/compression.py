@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, passages: int = P
     if not by[0] or not by[1]:
         return Model(b"", b"", 0.0, prior, prior)
     good, bad = _dictionary(by[1]), _dictionary(by[0])
-    tested = with_difference(of_sample.filter("_test"), good, bad, ["quality", F.octet_length("text").alias("size")]).collect()
+    tested = with_difference(of_sample.filter("_test"), good, bad, ["quality", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")]).collect()
     x, size, y = (np.array([r[k] for r in tested], float) for k in ("difference", "size", "quality"))
     if len(y) == 0 or y.min() == y.max():  # too few rows to calibrate on: the passages stand in
         x = np.concatenate([*_differences(pa.array([p.decode() for q in (0, 1) for p in by[q]]), _compressor(good), _compressor(bad))])

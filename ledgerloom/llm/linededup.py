@@ -11,7 +11,7 @@ from ledgerloom.session import shared_dir, stored
 #: distinct words of a line that is compared: shorter ones are headings and phrases, and always stay.
 PERCENT, LEAST_WORDS = 85, 5
 #: Slots of the table of word frequencies; words that share one are ordered by its sum, which changes no result.
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 #: Classes of frequency for each doubling; 127 classes reach past 10^12 words a slot.
 CLASSES = 3
 #: Rows of one word beyond which its lines look for their hub in several parts.
@@ -126,20 +126,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     return gone.groupBy("doc", "copy").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_removed``, null where nothing is; a join by id and hash of the text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_copy": F.xxhash64(text)})
-    return keyed.join(removed.toDF("_doc", "_copy", "_removed"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
-
-
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """``docs`` without the removed lines; a row of which only blank lines would be left goes as a whole."""
+    """``docs`` without the removed lines; a row of which only blank lines would be left goes as a whole.
+
+    All columns stay, whatever their names.
+    """
     c = F.col
-    joined = with_removed(docs, removed_lines(docs, id_col=id_col, text_col=text_col, **limits), id_col, text_col)
-    kept = F.array_join(F.filter(F.split(c(text_col), "\n"), lambda x, k: ~F.array_contains("_removed", k)), "\n")
-    joined = joined.withColumn(text_col, F.when(c("_removed").isNull(), c(text_col)).otherwise(kept))
-    return joined.filter(c("_removed").isNull() | c(text_col).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    text = F.coalesce(c(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), text.alias("text"), F.coalesce(c(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("copy"))
+    joined = keyed.join(removed_lines(docs, id_col=id_col, text_col=text_col, **limits), ["doc", "copy"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
+    joined = joined.withColumn("kept", F.when(c("removed").isNotNull(), kept)).filter(c("removed").isNull() | c("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.select(*(F.coalesce("kept", c("row")[x]).alias(x) if x == text_col else c("row")[x].alias(x) for x in docs.columns))
 
 
 def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -119,17 +119,18 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     c = F.col
     _, spans = find_spans(docs, id_col, text_col)
-    keyed = docs.withColumn("_key", _row_key(id_col, F.coalesce(c(text_col).cast("string"), F.lit(""))))
-    joined = keyed.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left")
+    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), c(text_col).alias("text"), _row_key(id_col, F.coalesce(c(text_col).cast("string"), F.lit(""))).alias("_key"))
+    joined = keyed.join(spans, "_key", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(done: Column, s: Column) -> Column:
-        kept = F.substring(c(text_col), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
+        kept = F.substring("text", (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
         fresh = s["start"] >= done["at"]
         return F.struct(F.when(fresh, F.concat(done["out"], kept, F.lit(mask))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
 
-    rest = lambda done: F.concat(done["out"], F.substring(c(text_col), (done["at"] + 1).cast("int"), F.char_length(text_col)))
-    return joined.withColumn(text_col, F.when(c("_spans").isNull(), c(text_col)).otherwise(F.aggregate("_spans", start, step, rest))).select(docs.columns)
+    rest = lambda done: F.concat(done["out"], F.substring("text", (done["at"] + 1).cast("int"), F.char_length("text")))
+    masked = F.when(c("spans").isNull(), c("text")).otherwise(F.aggregate("spans", start, step, rest))
+    return joined.select(*(masked.alias(x) if x == text_col else c("row")[x].alias(x) for x in docs.columns))
 
 
 def op4_secret_scans(spark: SparkSession, d: str) -> DataFrame:
