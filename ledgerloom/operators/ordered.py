@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 65_536
+#: Slots of the table that tells how common hashed values are; values of one slot count together.
+SLOTS = 1 << 16
 
 
 def with_running_sum(
@@ -111,3 +113,23 @@ def exact_quantiles(
             *keys, "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("value")
         )
     )
+
+
+def slot_levels(hashes: DataFrame, slots: int = SLOTS) -> bytes:
+    """One byte a slot: 3 times the binary logarithm of how many rows of ``hash`` fall in it.
+
+    The table's size does not depend on the input's: it orders values from rare to common.
+    """
+    counts = hashes.groupBy(F.pmod("hash", F.lit(slots)).alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
+    every = hashes.sparkSession.range(slots).withColumnRenamed("id", "slot").join(counts, "slot", "left")
+    level = F.least((3 * F.log2(F.coalesce("rows", F.lit(0)) + 1)).cast("int"), F.lit(127))
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.char(x["level"])), "")
+    return listed.select(text.alias("levels")).first()["levels"].encode("ascii")
+
+
+def rare_first(value: Column, levels: bytes) -> Column:
+    """A number that ascends with how common the hashed value is and keeps 55 of its bits."""
+    slot = F.pmod(value, F.lit(len(levels))) + 1
+    level = F.ascii(F.substring(F.lit(bytearray(levels)), slot.cast("int"), F.lit(1)).cast("string"))
+    return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(value, 9))

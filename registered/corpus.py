@@ -335,6 +335,12 @@ def most_similar_200_pairs(spark, d):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+def most_similar_items(spark, d):
+    """A table without near copies: the best pairs are far from alike."""
+    out = M.most_similar_pairs(D.table(spark, d, "benchmark"), 20, "item_id", "text", store=shared_dir(spark, "sets"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 def near_copies_found(spark, d):
     return M.has_near_copies(M.most_similar_pairs(spread(D.table(spark, d, "pages")), 5, "page_id", "html", store=shared_dir(spark, "sets")))
 
@@ -444,6 +450,7 @@ QUERIES = {
     "similar_pairs": similar_pairs,
     "most_similar_pairs": most_similar_pairs,
     "most_similar_200_pairs": most_similar_200_pairs,
+    "most_similar_items": most_similar_items,
     "near_copies_found": near_copies_found,
 }
 
@@ -512,7 +519,9 @@ ORACLE = {
     "similar_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM sim",
     "most_similar_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 5)",
     "most_similar_200_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 200)",
-    "near_copies_found": f"WITH {GRAMS.format(key='page_id', text='html', src='pages')} SELECT count(*) > 0 AS near_copies FROM every",
+    "most_similar_items": f"""WITH {GRAMS[:GRAMS.index('reps AS')].format(key='item_id', text='text', src='benchmark').rstrip().rstrip(',')}, x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.grams, b.grams)) AS x, len(a.grams) + len(b.grams) AS n FROM g a JOIN g b ON a.id < b.id)
+      SELECT a, b, round(x / (n - x)::DOUBLE, 6) AS similarity FROM x ORDER BY x / (n - x)::DOUBLE DESC, a, b LIMIT 20""",
+    "near_copies_found": f"WITH {GRAMS.format(key='page_id', text='html', src='pages')} SELECT count(*) > 0 AS near_copies FROM every WHERE s >= 0.8",
     "rouge_l": """WITH q AS (SELECT t.conv_id, t.turn, regexp_extract_all(lower(t.text), '[a-z0-9]+') AS p, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS r
         FROM conversations t JOIN conversations b ON b.conv_id = t.conv_id AND b.turn + 1 = t.turn WHERE t.role = 'assistant'),
       m AS (SELECT *, list_concat([list_transform(r, lambda x: 0)], list_transform(p, lambda x: list_transform(r, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))) AS steps FROM q),

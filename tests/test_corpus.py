@@ -159,16 +159,24 @@ def test_similar_sets_finds_every_pair(spark):
         assert got == want and got
 
 
-@pytest.mark.parametrize("k", [5, 100, 900])
+@pytest.mark.parametrize("k", [5, 900, 1500])
 def test_most_similar_pairs_match_brute_force(spark, k):
     data = corpus_with_copies()
     df = spark.createDataFrame(data, "id int, text string")
     ranked = sorted(brute_pairs(data), key=lambda p: (-p[2], p[0], p[1]))
-    want = [(a, b, round(s, 9)) for a, b, s in ranked if s >= 0.8][:k]
+    want = [(a, b, round(s, 9)) for a, b, s in ranked][:k]
     got = [(r.a, r.b, round(r.similarity, 9)) for r in M.most_similar_pairs(df, k).collect()]
     assert got == want
 
 
+def test_most_similar_pairs_without_any_near_copy(spark):
+    data = [(1, "completely different"), (2, "words everywhere"), (3, "differently put"), (4, "zzzzz"), (5, "zzzzz"), (6, "")]
+    want = sorted(((a, b, round(s, 9)) for a, b, s in brute_pairs(data)), key=lambda p: (-p[2], p[0], p[1]))
+    for k in (1, 3, 8, 40):
+        got = M.most_similar_pairs(spark.createDataFrame(data, "id int, text string"), k).collect()
+        assert [(r.a, r.b, round(r.similarity, 9)) for r in got] == want[:k]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
