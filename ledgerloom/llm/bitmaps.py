@@ -6,15 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 #: Bits of a bitmap. The more keys, the more other rows pass too; none that is needed is missed.
-BITS = 1 << 23
+BITS = 1 << 20
 
 
 def may_be_among(table: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``table`` whose ``columns`` may equal a row of ``keys``; a join has to follow. Nothing is shuffled."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(BITS))
-    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).collect()
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITS // 32, "<u4")
-    for row in words:  # at most BITS / 32 rows
-        bitmap[row["word"]] = row["bits"]
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()  # at most BITS / 32 rows
     byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return table.withColumn("_slot", slot).withColumn("_byte", byte).filter(F.expr("(shiftright(_byte, cast(_slot % 8 as int)) & 1) = 1")).drop("_slot", "_byte")
