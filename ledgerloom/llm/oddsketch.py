@@ -21,6 +21,8 @@ PERCENT = 75
 BANDS, SAMPLES = 40, 5
 #: Bits of an odd sketch, and the estimate below which a pair is not looked at: 4 deviations under the threshold.
 BITS, LEAST_ESTIMATE = 512, 0.55
+#: Bits of the parity of a whole set. Sets differ in at least as many shingles as these in bits, so no link is missed by them.
+PARITY = 2048
 _K = BANDS * SAMPLES
 _DRAW = np.random.default_rng(7)
 _A, _C = _DRAW.integers(0, 1 << 31, _K, np.uint32) * np.uint32(2) + np.uint32(1), _DRAW.integers(0, 1 << 32, _K, np.uint32)
@@ -67,13 +69,19 @@ def _folded(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.astype(np.int64), sketch
 
 
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each whole set, which bits an odd number of its shingles falls on, as rows of 64-bit numbers."""
+    odd = np.stack([np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1 for s in sets])
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
 def _lists(values: np.ndarray) -> pa.Array:
     rows, width = values.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(values.ravel()))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set), bands and sketch of every row. Nothing is shuffled.
+    """doc_id, n_shingles, set_id (a digest of the set), bands, sketch and parity of every row. Nothing is shuffled.
 
     Rows without words have no set: n_shingles 0 and nulls.
     """
@@ -86,22 +94,25 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 keys, sketch = _folded(np.stack([_samples(s) for s in sets]))
                 none = np.array([len(s) == 0 for s in sets])
                 digests = pa.array([_digest(s) for s in sets], pa.int64(), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), digests, _lists(keys), _lists(sketch)], names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), digests, _lists(keys), _lists(sketch), _lists(_parity(sets))], names=names)
 
-    return picked.mapInArrow(measure, "doc_id long, n_shingles long, set_id long, bands array<long>, sketch array<long>")
+    names = ["doc_id", "n_shingles", "set_id", "bands", "sketch", "parity"]
+    return picked.mapInArrow(measure, "doc_id long, n_shingles long, set_id long, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def _differing(left: str, right: str) -> Column:
-    bits = [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(BITS // 64)]
-    return sum(bits[1:], bits[0])
+def _differing(left: str, right: str, bits: int = BITS) -> Column:
+    counts = [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(bits // 64)]
+    return sum(counts[1:], counts[0])
 
 
 #: Differing bits that a pair of estimated similarity LEAST_ESTIMATE has.
 MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * _K * (1 - LEAST_ESTIMATE) / BITS)))
 
 
-def _plausible(n: str, m: str, left: str, right: str) -> Column:
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_differing(left, right) <= MOST_BITS)
+def _plausible(n: str, m: str, left: str, right: str, odd: str, even: str) -> Column:
+    """By size, by the estimate from the odd sketches, and by what the parities leave possible."""
+    most = (F.col(n) + F.col(m)) * (100 - PERCENT) / (100 + PERCENT)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_differing(left, right) <= MOST_BITS) & (_differing(odd, even, PARITY) <= most)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 200) -> DataFrame:
@@ -150,8 +161,9 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
 
     Candidates are nodes that share a band. Verifying all of them would take the square of a
     group's size, so in rounds every node of a bucket is first compared with one hub of the
-    bucket (the most similar by sketch, of the buckets it is in); afterwards, all pairs
-    that are still in different components, fit by size and look similar by sketch are compared. A
+    bucket (the most similar by sketch, of the buckets it is in; in the first round hubs are the
+    nodes that meet most others); afterwards, all pairs that are still in different components,
+    fit by size, look similar by sketch and can be linked by their parities are compared. A
     candidate pair goes unverified only where its nodes are already connected.
     """
     c = F.col
@@ -160,13 +172,15 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
     texts = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text"))
     rows = save(sketches(texts), "sketches")
     firsts = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = save(rows.select("set_id", "doc_id", c("n_shingles").alias("n"), "bands", "sketch").join(firsts, ["set_id", "doc_id"]).dropDuplicates(["set_id"]), "sets")
+    sets = save(rows.select("set_id", "doc_id", c("n_shingles").alias("n"), "bands", "sketch", "parity").join(firsts, ["set_id", "doc_id"]).dropDuplicates(["set_id"]), "sets")
 
     banded = sets.select("set_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    shared = banded.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
     buckets = save(banded.join(shared, "key"), "buckets")
-    sizes = sets.select("set_id", "n", "sketch")
-    side = lambda name: sizes.toDF(name, f"n_{name}", f"s_{name}")
+    # how often a node meets others: the text that a group's copies were made from leads
+    buckets = save(buckets.select("key", "set_id").join(buckets.groupBy("set_id").agg(F.sum("met").alias("met")), "set_id"), "buckets")
+    sizes = sets.select("set_id", "n", "sketch", "parity")
+    side = lambda name: sizes.toDF(name, f"n_{name}", f"s_{name}", f"p_{name}")
     labels, tried = None, None
 
     def labelled() -> DataFrame:
@@ -187,13 +201,13 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
         return save(old.unionByName(fresh), "labels")
 
     for turn in range(hub_rounds):
-        place = F.xxhash64("set_id", F.lit(turn))
+        place = F.xxhash64("set_id", F.lit(turn)) if turn else -c("met")
         table = labelled()
         hubs = table.groupBy("key").agg(F.min_by("set_id", place).alias("lead"), F.min_by("component", place).alias("_hub"), F.min("component").alias("_low"), F.max("component").alias("_high"))
         pairs = table.join(hubs.filter("_low <> _high"), "key").filter("component <> _hub").select("lead", c("set_id").alias("member")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["lead", "member"], "left_anti")
-        fit = pairs.join(side("lead"), "lead").join(side("member"), "member").filter(_plausible("n_lead", "n_member", "s_lead", "s_member"))
+        fit = pairs.join(side("lead"), "lead").join(side("member"), "member").filter(_plausible("n_lead", "n_member", "s_lead", "s_member", "p_lead", "p_member"))
         best = save(fit.groupBy("member").agg(F.min_by("lead", _differing("s_lead", "s_member")).alias("lead")).select("lead", "member"), "hub-pairs")
         if best.isEmpty():
             break
@@ -204,8 +218,8 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
     table = labelled()
     open_keys = table.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     table = save(table.join(open_keys, "key").join(sizes, "set_id"), "open-buckets")
-    other = table.select("key", *(c(x).alias(f"{x}_b") for x in ("set_id", "component", "n", "sketch")))
-    pairs = table.join(other, "key").filter((c("component") < c("component_b")) & _plausible("n", "n_b", "sketch", "sketch_b"))
+    other = table.select("key", *(c(x).alias(f"{x}_b") for x in ("set_id", "component", "n", "sketch", "parity")))
+    pairs = table.join(other, "key").filter((c("component") < c("component_b")) & _plausible("n", "n_b", "sketch", "sketch_b", "parity", "parity_b"))
     pairs = pairs.select(c("set_id").alias("lead"), c("set_id_b").alias("member")).distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["lead", "member"], "left_anti")
