@@ -9,14 +9,20 @@ from ledgerloom.fixed_values import RECEIVERS, STDLIB_MODULES
 SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
 
 
-class _Body(ast.NodeVisitor):
-    """Collects yields, returned values and raised names of one function, not of those defined inside it."""
+class _Body:
+    """Yields, returned values and raised names of one function, not of those defined inside it. Code may nest to any depth."""
 
-    def __init__(self) -> None:
+    def __init__(self, fn: ast.AST) -> None:
         self.yields = self.returns = False
         self.raises: set[str] = set()
+        waiting = [fn]
+        while waiting:
+            for node in ast.iter_child_nodes(waiting.pop()):
+                self._note(node)
+                if not isinstance(node, SCOPES):
+                    waiting.append(node)
 
-    def visit(self, node: ast.AST) -> None:
+    def _note(self, node: ast.AST) -> None:
         if isinstance(node, (ast.Yield, ast.YieldFrom)):
             self.yields = True
         elif isinstance(node, ast.Return) and node.value is not None:
@@ -26,8 +32,6 @@ class _Body(ast.NodeVisitor):
             name = getattr(target, "attr", None) or getattr(target, "id", None)
             if name:
                 self.raises.add(name)
-        if not isinstance(node, SCOPES):
-            self.generic_visit(node)
 
 
 def _modules(tree: ast.AST) -> list[str]:
@@ -42,6 +46,8 @@ def code_facts(code: str) -> dict:
         tree = ast.parse(code)
     except (SyntaxError, ValueError) as exc:
         return {"error": str(exc)}
+    except (RecursionError, MemoryError):
+        return {"error": "code is nested too deeply to parse"}
     if len(tree.body) != 1 or not isinstance(tree.body[0], (ast.FunctionDef, ast.AsyncFunctionDef)):
         return {"error": "code must be exactly one top-level function"}
     fn = tree.body[0]
@@ -51,9 +57,7 @@ def code_facts(code: str) -> dict:
     params += [spec.vararg.arg] if spec.vararg else []
     params += [a.arg for a in spec.kwonlyargs]
     params += [spec.kwarg.arg] if spec.kwarg else []
-    body = _Body()
-    for child in ast.iter_child_nodes(fn):
-        body.visit(child)
+    body = _Body(fn)
     return {
         "name": fn.name,
         "params": params,

@@ -103,12 +103,18 @@ def unsupported_risks(evidence: DataFrame, observations: DataFrame) -> DataFrame
 
 
 def numbered_observations(observations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(run_id, call, line): each call's number, arguments and digest as one JSON line."""
+    """(run_id, call, line): each call's number, arguments and the fields of its digest as one JSON line.
+
+    ``args`` and ``digest`` are JSON texts; a digest that is no object is replaced by tool and
+    status, arguments that are no JSON stay a text.
+    """
     numbered = with_position(observations, ["run_id"], "call", block=block)
-    digest = F.coalesce("digest", F.to_json(F.struct("tool", "status")))
-    return numbered.select(
-        "run_id", "call", F.to_json(F.struct("call", "args", digest.alias("digest"))).alias("line")
-    )
+    digest = F.trim("digest")
+    fields = F.when(digest.rlike(r"^\{[\s\S]*\}$") & F.try_parse_json(digest).isNotNull(), digest).otherwise(F.to_json(F.struct("tool", "status")))
+    inner = F.trim(F.expr("substring(_fields, 2, length(_fields) - 2)"))
+    args = F.when(F.col("args").isNull(), "null").when(F.try_parse_json("args").isNotNull(), F.col("args")).otherwise(F.expr("substring(to_json(struct(args)), 9, length(to_json(struct(args))) - 9)"))
+    line = F.concat(F.lit('{"call":'), F.col("call").cast("string"), F.lit(',"args":'), args, F.when(inner != "", F.concat(F.lit(","), inner)).otherwise(""), F.lit("}"))
+    return numbered.withColumn("_fields", fields).select("run_id", "call", line.alias("line"))
 
 
 def tool_result(df: DataFrame) -> DataFrame:

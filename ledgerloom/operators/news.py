@@ -68,16 +68,13 @@ def newest(headlines: DataFrame, n: int = NEWS_TARGET) -> DataFrame:
 
 
 def collect_headlines(headlines: DataFrame, today: Column, n: int = NEWS_TARGET) -> DataFrame:
-    """Recent, unique, topped-up, newest first."""
-    low, high = NEWS_BOUNDS
-    count = min(max(n, low), high)
-    return newest(topped_up(recent(headlines, today), count), count)
+    """Recent, unique, topped-up, newest first: as many as asked for; :func:`clamped` bounds a caller's number and says so."""
+    return newest(topped_up(recent(headlines, today), n), n)
 
 
 def shortfall(headlines: DataFrame, tickers: DataFrame, n: int = NEWS_TARGET) -> DataFrame:
     """(ticker, headlines, warning): a warning where fewer than min(n, 10) were found."""
-    low, high = NEWS_BOUNDS
-    expected = min(min(max(n, low), high), NEWS_MIN)
+    expected = min(n, NEWS_MIN)
     counts = headlines.groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines"))
     found = F.coalesce("headlines", F.lit(0))
     text = F.format_string(
@@ -107,7 +104,5 @@ def search_hits(raw: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
 
 
 def hit_digest(hits: DataFrame) -> DataFrame:
-    """Hits as shown to a reader: the snippet cut, its full length kept."""
-    return hits.withColumn("snippet_chars", F.length("snippet")).withColumn(
-        "snippet", F.substring("snippet", 1, SNIPPET_CHARS)
-    )
+    """Hits with what is shown to a reader beside the whole snippet: its start and its full length."""
+    return hits.withColumns({"snippet_chars": F.length("snippet"), "snippet_preview": F.substring("snippet", 1, SNIPPET_CHARS)})

@@ -127,32 +127,37 @@ def strongest(scored: DataFrame, by: list[str], order: str, n: int = TOP_HEADLIN
 
 
 def labelled_input(headlines: DataFrame, n: int = MAX_LABELLED_HEADLINES) -> DataFrame:
-    """Batches (batch, pos, title): trimmed, blanks dropped, the first ``n`` kept and renumbered as ``index``."""
+    """Batches (batch, pos, title): trimmed, blanks dropped, in parts of ``n`` numbered ``part`` from 0, with ``index`` from 1 in each.
+
+    A scorer takes at most ``n`` titles at a time; every title is in one part.
+    """
     kept = headlines.withColumn("title", F.trim("title")).where("title <> ''")
     order = Window.partitionBy("batch").orderBy("pos")
-    return kept.withColumn("index", F.row_number().over(order)).where(F.col("index") <= n)
+    nth = kept.withColumn("_nth", F.row_number().over(order) - 1)
+    return nth.withColumns({"part": F.floor(F.col("_nth") / n).cast("int"), "index": (F.col("_nth") % n + 1).cast("int")}).drop("_nth")
 
 
 def overfull_batches(headlines: DataFrame, n: int = MAX_LABELLED_HEADLINES) -> DataFrame:
-    """(batch, given, warning) for batches where only the first ``n`` are labelled."""
+    """(batch, given, warning) for batches that are labelled in several parts of ``n``."""
     given = headlines.where(F.trim("title") != "").groupBy("batch").agg(F.count(F.lit(1)).alias("given"))
-    text = F.format_string(f"%d headlines given; only the first {n} were labelled", "given")
+    text = F.format_string(f"%d headlines given; they are labelled {n} at a time", "given")
     return given.where(F.col("given") > n).withColumn("warning", text)
 
 
 def apply_labels(batches: DataFrame, labels: DataFrame) -> DataFrame:
     """Batch labels by index: the first label for an index wins, an unlabelled headline has no score.
 
-    ``labels`` holds (batch, index, arrival, sentiment, confidence, reason).
+    ``labels`` holds (batch, part, index, arrival, sentiment, confidence, reason).
     """
-    first = labels.groupBy("batch", "index").agg(
+    place = ["batch", "part", "index"]
+    first = labels.groupBy(*place).agg(
         F.min_by("sentiment", "arrival").alias("l_sentiment"),
         F.min_by("confidence", "arrival").alias("l_confidence"),
         F.min_by("reason", "arrival").alias("l_reason"),
     )
     found = F.col("l_sentiment").isNotNull()
     score = F.round(label_sign(F.col("l_sentiment")) * F.col("l_confidence"), 4)
-    return batches.join(first, ["batch", "index"], "left").select(
+    return batches.join(first, place, "left").select(
         *batches.columns,
         F.coalesce("l_sentiment", F.lit("neutral")).alias("sentiment"),
         F.coalesce("l_confidence", F.lit(0.0)).alias("confidence"),

@@ -117,7 +117,9 @@ def market_summary(
     """
     joined = latest_figures(bars, today)
     if tickers is not None:
-        joined = tickers.select("ticker").distinct().join(joined, "ticker", "left")
+        # a ticker without bars has all its votes unavailable, which with_signal works out from its nulls
+        kept = [x for x in joined.columns if x not in ("label", "score", "votes", "flags", "unavailable")]
+        joined = with_signal(tickers.select("ticker").distinct().join(joined.select(kept), "ticker", "left"))
     joined = joined.join(facts, "ticker", "left")
     if fetch_warnings is None:
         joined = joined.withColumn("fetch_warnings", F.array().cast("array<string>"))

@@ -228,8 +228,8 @@ def steps(trace: DataFrame) -> DataFrame:
 
 
 def stored_output(calls: DataFrame, limit: int = TRACE_OUTPUT_CHARS) -> DataFrame:
-    """The stored form of a call's output: cut to ``limit`` characters with the full length beside it."""
-    return calls.withColumn("output_chars", F.length("output")).withColumn("output", F.substring("output", 1, limit))
+    """Calls with the short form of their output, ``output_preview``, and its full length beside the whole."""
+    return calls.withColumns({"output_chars": F.length("output"), "output_preview": F.substring("output", 1, limit)})
 
 
 def turns_of_calls(trace: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ledgerloom.operators.news import story_key
 from ledgerloom.operators.traces import is_event
+from ledgerloom.sources.jsonl import path_exists
 
 CYCLE_SCHEMA = "run_id string, agent string, turn bigint, side string, seq bigint, tool string"
 
@@ -117,17 +118,32 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def upsert_snapshots(runs: DataFrame, path: str, checkpoint: str, order: str) -> StreamingQuery:
-    """Keep the newest run per (ticker, as_of) in a partitioned table.
+    """Keep the newest run per (ticker, as_of) in a partitioned table; of equal ``order`` the greatest row.
 
-    A micro-batch replaces the partitions it touches with its newest rows, so replaying
-    a batch id after a failure writes the same content again.
+    A micro-batch is compared with what the table holds for the keys it touches, so an older
+    run that arrives late changes nothing, and a replayed batch id writes the same content
+    again. The batch's newest rows are stored beside the checkpoint before partitions are
+    replaced: the table is not read while it is written.
     """
     rest = [c for c in runs.columns if c not in ("ticker", "as_of")]
+    ordered = [order, *[c for c in rest if c != order]]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("ticker", "as_of").agg(F.max(F.struct(*ordered)).alias("run"))
+        return best.select("ticker", "as_of", *[F.col("run")[c].alias(c) for c in rest])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("ticker", "as_of").agg(*[F.max_by(c, order).alias(c) for c in rest])
+        spark = batch.sparkSession
+        fresh = newest(batch)
+        if path_exists(spark, path):
+            stored = spark.read.schema(batch.schema).parquet(path)
+            touched = batch.select("ticker", "as_of").distinct()
+            fresh = newest(stored.join(touched, ["ticker", "as_of"], "left_semi").select(batch.columns).unionByName(batch))
+        staged = f"{checkpoint}-staged/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(staged)
         (
-            newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            spark.read.schema(fresh.schema).parquet(staged).repartition("ticker", "as_of")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("ticker", "as_of").parquet(path)
         )
 

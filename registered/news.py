@@ -168,7 +168,7 @@ def _batches(spark, d):
 
 
 def labelled_input(spark, d):
-    return S.labelled_input(_batches(spark, d), 3).select("batch", "pos", "index")
+    return S.labelled_input(_batches(spark, d), 3).select("batch", "pos", "part", "index")
 
 
 def overfull_batches(spark, d):
@@ -180,15 +180,15 @@ def batch_labels(spark, d):
     base = D.table(spark, d, "conversations").where("role <> 'user'")
     label = lambda k: F.when(F.length("text") % 3 == k, "positive").when(F.length("text") % 3 == (k + 1) % 3, "negative").otherwise("neutral")
     one = base.select(
-        F.col("conv_id").alias("batch"), (F.col("turn") + 1).cast("int").alias("index"), F.lit(1).alias("arrival"),
+        F.col("conv_id").alias("batch"), F.floor(F.col("turn") / 20).cast("int").alias("part"), (F.col("turn") % 20 + 1).cast("int").alias("index"), F.lit(1).alias("arrival"),
         label(0).alias("sentiment"), F.lit(0.7).alias("confidence"), F.lit("first").alias("reason"),
     )
     two = base.select(
-        F.col("conv_id").alias("batch"), (F.col("turn") + 1).cast("int").alias("index"), F.lit(2).alias("arrival"),
+        F.col("conv_id").alias("batch"), F.floor(F.col("turn") / 20).cast("int").alias("part"), (F.col("turn") % 20 + 1).cast("int").alias("index"), F.lit(2).alias("arrival"),
         label(1).alias("sentiment"), F.lit(0.9).alias("confidence"), F.lit("second").alias("reason"),
     )
     out = S.apply_labels(S.labelled_input(_batches(spark, d)), two.unionByName(one))
-    return out.select("batch", "index", "sentiment", "confidence", "scored_by", "score", "brief_reason")
+    return out.select("batch", (F.col("part") * 20 + F.col("index")).alias("index"), "sentiment", "confidence", "scored_by", "score", "brief_reason")
 
 
 def caller_scored_headlines(spark, d):
@@ -279,7 +279,7 @@ ORACLE = {
       CASE WHEN n NOT BETWEEN 1 AND 50 THEN 'n=' || n || ' is outside 1..50, using ' || least(greatest(n, 1), 50) END AS n_warning FROM a""",
     "clamped_windows": """WITH a AS (SELECT c_custkey, CAST(floor(c_acctbal / 20) AS INT) AS n FROM customer) SELECT c_custkey, least(greatest(n, 5), 252) AS "window",
       CASE WHEN n NOT BETWEEN 5 AND 252 THEN 'window=' || n || ' is outside 5..252, using ' || least(greatest(n, 5), 252) END AS window_warning FROM a""",
-    "search_hits": """SELECT query, hit, title, url, left(body, 300) AS snippet, NULL::VARCHAR AS published, length(body) AS snippet_chars FROM (
+    "search_hits": """SELECT query, hit, title, url, body AS snippet, left(body, 300) AS snippet_preview, NULL::VARCHAR AS published, length(body) AS snippet_chars FROM (
       SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS hit, CASE WHEN lang <> 'de' THEN lang ELSE '' END AS title,
         CASE WHEN lang <> 'fr' THEN 'h' || doc_id ELSE 'u' || doc_id END AS url, text AS body FROM documents) WHERE hit <= 5""",
     "checked_decisions": f"""WITH {DEC} SELECT ord, CASE ord % 7 WHEN 1 THEN 'choice ''mixed'' is not one of the options [''positive'', ''neutral'', ''negative'']'
@@ -297,8 +297,8 @@ ORACLE = {
     "strongest_with_sources": f"""{S_W} SELECT ticker, ord, rank, sentiment, publisher, published FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(score) DESC, ord) AS rank FROM sc WHERE score IS NOT NULL) WHERE rank <= 3""",
     "ranked_probabilities": f"""WITH {DEC}, l AS (SELECT ord, 'positive' AS k, p_pos AS v FROM dec UNION ALL SELECT ord, 'neutral', p_neu FROM dec UNION ALL SELECT ord, 'negative', p_neg FROM dec)
       SELECT ord, string_agg(k || ' ' || printf('%.2f', v), ', ' ORDER BY v DESC, k) AS described FROM l GROUP BY ord""",
-    "labelled_input": f"WITH {BATCH} SELECT batch, pos, idx AS index FROM b WHERE idx <= 3",
-    "overfull_batches": f"WITH {BATCH} SELECT batch, count(*) AS given, count(*) || ' headlines given; only the first 3 were labelled' AS warning FROM b GROUP BY batch HAVING count(*) > 3",
+    "labelled_input": f"WITH {BATCH} SELECT batch, pos, CAST((idx - 1) // 3 AS INT) AS part, CAST((idx - 1) % 3 + 1 AS INT) AS index FROM b",
+    "overfull_batches": f"WITH {BATCH} SELECT batch, count(*) AS given, count(*) || ' headlines given; they are labelled 3 at a time' AS warning FROM b GROUP BY batch HAVING count(*) > 3",
     "batch_labels": f"""WITH {BATCH}, l AS (SELECT conv_id AS batch, turn + 1 AS idx, CASE length(text) % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS s FROM conversations WHERE role <> 'user')
       SELECT b.batch, b.idx AS index, coalesce(s, 'neutral') AS sentiment, CASE WHEN s IS NULL THEN 0.0 ELSE 0.7 END AS confidence, CASE WHEN s IS NULL THEN 'none' ELSE 'secondary' END AS scored_by,
         CASE s WHEN 'positive' THEN 0.7 WHEN 'negative' THEN -0.7 WHEN 'neutral' THEN 0.0 END AS score, CASE WHEN s IS NULL THEN 'Not scored: no label was returned for this headline.' ELSE 'first' END AS brief_reason

@@ -83,7 +83,7 @@ def run_steps(spark, d):
 
 def stored_outputs(spark, d):
     calls = T.tool_calls(D.trace(spark, d)).withColumn("output", F.repeat("output", 12))
-    return T.stored_output(calls).select("run_id", "seq", "output", "output_chars")
+    return T.stored_output(calls).select("run_id", "seq", "output", "output_preview", "output_chars")
 
 
 def replan_cycles(spark, d):
@@ -174,8 +174,11 @@ def unsupported_risks(spark, d):
 
 def numbered_observations(spark, d):
     out = E.numbered_observations(_observations(spark, d))
-    return out.select("run_id", "call", F.get_json_object("line", "$.call").cast("bigint").alias("in_line"),
-                      F.get_json_object("line", "$.args").alias("args"))
+    read = lambda path: F.get_json_object("line", f"$.{path}")
+    return out.select(
+        "run_id", "call", read("call").cast("bigint").alias("in_line"), read("args").alias("args"), read("tool").alias("tool"), read("status").alias("status"),
+        F.round(read("duration_ms").cast("double"), 3).alias("duration_ms"), F.array_join(F.json_object_keys("line"), ",").alias("fields"),
+    )
 
 
 def tool_results(spark, d):
@@ -285,7 +288,7 @@ ORACLE = {
         WHEN 'tool_call' THEN '[' || agent || '] ' || tool || ' -> ' || status || ' (' || CAST(round(duration_ms) AS BIGINT) || ' ms)'
         WHEN 'agent_turn' THEN '[' || agent || '] turn ' || turn || ': answers in text'
         WHEN 'cache' THEN 'cache ' || action || coalesce(': ' || reason, '') ELSE sender || ' -> ' || receiver || ': ' || msg END AS title FROM tr""",
-    "stored_outputs": f"{W} SELECT run_id, seq, left(repeat(output, 12), 200) AS output, 12 * length(output) AS output_chars FROM tr WHERE event = 'tool_call'",
+    "stored_outputs": f"{W} SELECT run_id, seq, repeat(output, 12) AS output, left(repeat(output, 12), 200) AS output_preview, 12 * length(output) AS output_chars FROM tr WHERE event = 'tool_call'",
     "replan_cycles": f"""{W}, t AS (SELECT *, sum(CASE WHEN event = 'agent_turn' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, agent ORDER BY seq) AS n FROM tr WHERE event IN ('agent_turn', 'tool_call')),
       g AS (SELECT run_id, agent, n, max(turn) AS turn, count(*) FILTER (event = 'tool_call') AS c FROM t WHERE n > 0 GROUP BY ALL),
       p AS (SELECT a.run_id, a.agent, a.n, b.turn FROM g a JOIN g b ON a.run_id = b.run_id AND a.agent = b.agent AND b.n = a.n + 1 WHERE a.c > 0 AND b.c > 0)
@@ -325,7 +328,7 @@ ORACLE = {
     "unsupported_risks": f"""{EVID}, ok AS (SELECT DISTINCT run_id, tool FROM obs WHERE status = 'ok' AND duration_ms > 60)
       SELECT e.run_id, risk, 'risk ''' || risk || ''' has no supporting evidence left' AS warning FROM ev9 e LEFT JOIN ok ON ok.run_id = e.run_id AND ok.tool = e.source_tool
       GROUP BY e.run_id, risk HAVING count(ok.tool) = 0""",
-    "numbered_observations": f"{W} SELECT run_id, row_number() OVER w AS call, row_number() OVER w AS in_line, args FROM tr WHERE event = 'tool_call' WINDOW w AS (PARTITION BY run_id ORDER BY seq)",
+    "numbered_observations": f"{W} SELECT run_id, row_number() OVER w AS call, row_number() OVER w AS in_line, args, tool, status, CASE WHEN duration_ms > 10 THEN round(duration_ms, 3) END AS duration_ms, 'call,args,tool,status' || CASE WHEN duration_ms > 10 THEN ',duration_ms' ELSE '' END AS fields FROM tr WHERE event = 'tool_call' WINDOW w AS (PARTITION BY run_id ORDER BY seq)",
     "tool_results": f"""{W} SELECT run_id, seq, status, CASE WHEN status = 'ok' THEN seq END AS n, CASE WHEN status = 'error' THEN output END AS error, CASE WHEN status = 'empty' THEN tool END AS second_warning FROM tr WHERE event = 'tool_call'""",
     "parsed_trace_lines": f"""{W} SELECT seq AS line_no, CASE WHEN seq % 50 <> 1 THEN run_id END AS run_id, CASE WHEN seq % 50 <> 1 THEN event END AS event, CASE WHEN seq % 50 <> 1 THEN tool END AS tool,
       CASE WHEN seq % 50 <> 1 THEN duration_ms END AS duration_ms, seq % 50 = 1 AS broken FROM tr WHERE seq % 50 <> 0""",

@@ -32,6 +32,8 @@ def test_facts():
     assert code_facts("def f():\n    yield 1\n")["is_generator"]
     assert code_facts("x = 1")["error"] == "code must be exactly one top-level function"
     assert code_facts("def f(:")["error"]
+    assert code_facts("def f():\n    return " + " + ".join(["x"] * 2000) + "\n")["returns_value"]
+    assert code_facts("def f():\n    return " + "-" * 50000 + "1\n")["error"]
 
 
 GOOD = """Price after a discount.

@@ -97,7 +97,7 @@ def test_strongest_ties_keep_order(spark):
 
 def test_batch_labels(spark):
     given = spark.createDataFrame([("b", 0, " "), ("b", 1, " x "), ("b", 2, "y")], "batch string, pos int, title string")
-    labels = spark.createDataFrame([("b", 1, 2, "negative", 0.9, "later"), ("b", 1, 1, "positive", 0.8, "first")], "batch string, index int, arrival int, sentiment string, confidence double, reason string")
+    labels = spark.createDataFrame([("b", 0, 1, 2, "negative", 0.9, "later"), ("b", 0, 1, 1, "positive", 0.8, "first")], "batch string, part int, index int, arrival int, sentiment string, confidence double, reason string")
     got = S.apply_labels(S.labelled_input(given), labels).orderBy("index").collect()
     assert [(r.title, r.sentiment, r.score, r.scored_by) for r in got] == [("x", "positive", 0.8, "secondary"), ("y", "neutral", None, "none")]
 

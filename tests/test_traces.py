@@ -1,5 +1,6 @@
 """Trace views, observations and the order-dependent helpers."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -9,6 +10,7 @@ from ledgerloom.operators import evidence as E
 from ledgerloom.operators import ordered as O
 from ledgerloom.operators import traces as T
 from ledgerloom.schemas import TRACE_SCHEMA
+from ledgerloom.streaming import live as L
 from ledgerloom.sources.jsonl import read_jsonl, split_corrupt, write_jsonl
 
 BLANK = {f.name: None for f in TRACE_SCHEMA.fields}
@@ -168,3 +170,23 @@ def test_jsonl_files(spark, tmp_path):
     write_jsonl(df.where("split = 'val'").withColumn("id", F.lit("3")), out, ["split"])
     write_jsonl(df.where("split = 'val'").withColumn("id", F.lit("4")), out, ["split"], append=True)
     assert sorted(r.id for r in read_jsonl(spark, out, df.schema).collect()) == ["1", "3", "4"]
+
+
+def test_numbered_observations_merge_the_digest(spark):
+    rows = [("r", 1, "t", '{"n": 3}', "ok", '{"tool": "t", "a": [1]}'), ("r", 2, "u", "n \"3\"", "error", None), ("r", 3, "u", None, "ok", "{}"), ("r", 4, "u", "1", "ok", "no json")]
+    got = E.numbered_observations(spark.createDataFrame(rows, "run_id string, seq long, tool string, args string, status string, digest string"))
+    assert [json.loads(r["line"]) for r in got.orderBy("call").collect()] == [
+        {"call": 1, "args": {"n": 3}, "tool": "t", "a": [1]}, {"call": 2, "args": 'n "3"', "tool": "u", "status": "error"}, {"call": 3, "args": None}, {"call": 4, "args": 1, "tool": "u", "status": "ok"},
+    ]
+
+
+def test_snapshot_upserts_keep_the_newest_run_whatever_comes_last(spark, tmp_path):
+    schema = "ticker string, as_of date, k int, text string"
+    batches = [[("A", 5, "new"), ("B", 1, "b")], [("A", 3, "old"), ("C", 1, "c")], [("A", 5, "new"), ("B", 2, None)]]
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "ticker string, k int, text string").select("ticker", F.to_date(F.lit("2026-01-05")).alias("as_of"), "k", "text")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        runs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        L.upsert_snapshots(runs, str(tmp_path / "table"), str(tmp_path / "checkpoint"), "k").awaitTermination()
+    table = spark.read.schema(schema).parquet(str(tmp_path / "table"))
+    assert {(r["ticker"], r["k"], r["text"]) for r in table.collect()} == {("A", 5, "new"), ("B", 2, None), ("C", 1, "c")}
