@@ -328,7 +328,7 @@ ORACLE = {
     "unsupported_risks": f"""{EVID}, ok AS (SELECT DISTINCT run_id, tool FROM obs WHERE status = 'ok' AND duration_ms > 60)
       SELECT e.run_id, risk, 'risk ''' || risk || ''' has no supporting evidence left' AS warning FROM ev9 e LEFT JOIN ok ON ok.run_id = e.run_id AND ok.tool = e.source_tool
       GROUP BY e.run_id, risk HAVING count(ok.tool) = 0""",
-    "numbered_observations": f"{W} SELECT run_id, row_number() OVER w AS call, row_number() OVER w AS in_line, args, tool, status, CASE WHEN duration_ms > 10 THEN round(duration_ms, 3) END AS duration_ms, 'call,args,tool,status' || CASE WHEN duration_ms > 10 THEN ',duration_ms' ELSE '' END AS fields FROM tr WHERE event = 'tool_call' WINDOW w AS (PARTITION BY run_id ORDER BY seq)",
+    "numbered_observations": f"{W} SELECT run_id, row_number() OVER w AS call, row_number() OVER w AS in_line, replace(args, ': ', ':') AS args, tool, status, CASE WHEN duration_ms > 10 THEN round(duration_ms, 3) END AS duration_ms, 'call,args,tool,status' || CASE WHEN duration_ms > 10 THEN ',duration_ms' ELSE '' END AS fields FROM tr WHERE event = 'tool_call' WINDOW w AS (PARTITION BY run_id ORDER BY seq)",
     "tool_results": f"""{W} SELECT run_id, seq, status, CASE WHEN status = 'ok' THEN seq END AS n, CASE WHEN status = 'error' THEN output END AS error, CASE WHEN status = 'empty' THEN tool END AS second_warning FROM tr WHERE event = 'tool_call'""",
     "parsed_trace_lines": f"""{W} SELECT seq AS line_no, CASE WHEN seq % 50 <> 1 THEN run_id END AS run_id, CASE WHEN seq % 50 <> 1 THEN event END AS event, CASE WHEN seq % 50 <> 1 THEN tool END AS tool,
       CASE WHEN seq % 50 <> 1 THEN duration_ms END AS duration_ms, seq % 50 = 1 AS broken FROM tr WHERE seq % 50 <> 0""",
