@@ -150,7 +150,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 2
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at least PERCENT similarity; a
@@ -160,9 +160,9 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
     id counts for each. Other columns are not read. An empty table gives an empty one.
 
     Candidates are nodes that share a band. Verifying all of them would take the square of a
-    group's size, so in rounds every node of a bucket is first compared with one hub of the
-    bucket (the most similar by sketch, of the buckets it is in; in the first round hubs are the
-    nodes that meet most others); afterwards, all pairs that are still in different components,
+    group's size, so in ``hub_rounds`` every node of a bucket is first compared with one hub of
+    the bucket (the most similar by sketch, of the buckets it is in; in the first round hubs are
+    the nodes that meet most others, in later ones any); afterwards, all pairs that are still in different components,
     fit by size, look similar by sketch and can be linked by their parities are compared. A
     candidate pair goes unverified only where its nodes are already connected.
     """
