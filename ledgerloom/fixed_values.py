@@ -69,6 +69,8 @@ TOP_HEADLINES = 3
 SEARCH_RESULTS = 5
 PROBABILITY_SUM_TOLERANCE = 0.02
 NOT_SCORED_REASON = "Not scored: both scorers failed."
+REASON_UNAVAILABLE = "No reason available: the LLM call failed."
+TOO_FEW_PRICES = " has fewer than {least} daily prices, too few for a {window}-day volatility"
 NOT_LABELLED_REASON = "Not scored: no label was returned for this headline."
 
 # --- record limits (fixed values) ---

@@ -12,6 +12,7 @@ from ledgerloom.fixed_values import (
     INDICATORS,
     SMA_LONG,
     SMA_SHORT,
+    TOO_FEW_PRICES,
     TRADING_DAYS,
     VOLATILITY_WINDOW,
     ZERO_WIDTH,
@@ -123,6 +124,15 @@ def volatility_rank(bars: DataFrame, window: int = VOLATILITY_WINDOW, days: int
     )
 
 
+def volatility_report(bars: DataFrame, window: int = VOLATILITY_WINDOW, days: int = TRADING_DAYS) -> DataFrame:
+    """The volatility rank of every ticker with bars: status ok, or empty with a warning where there are too few prices."""
+    tickers = bars.select("ticker").distinct()
+    ranked = tickers.join(volatility_rank(bars, window, days), "ticker", "left")
+    found = F.col("observations").isNotNull()
+    text = F.concat("ticker", F.lit(TOO_FEW_PRICES.format(least=window + 1, window=window)))
+    return ranked.withColumns({"status": F.when(found, "ok").otherwise("empty"), "warning": F.when(~found, text)})
+
+
 def value_back(column: str, k: int) -> Column:
     """The column's value ``k`` bars earlier; NULL if missing or not finite."""
     return finite(F.lag(column, k).over(_by_date())) if k else finite(column)

@@ -12,6 +12,7 @@ from ledgerloom.fixed_values import (
     NOT_LABELLED_REASON,
     NOT_SCORED_REASON,
     PROBABILITY_SUM_TOLERANCE,
+    REASON_UNAVAILABLE,
     SENTIMENT_THRESHOLD,
     SENTIMENTS,
     TOP_HEADLINES,
@@ -49,11 +50,14 @@ def label_sign(label: Column) -> Column:
     return F.when(label == "positive", 1).when(label == "negative", -1).when(label == "neutral", 0)
 
 
-def score_headlines(headlines: DataFrame, primary: DataFrame, secondary: DataFrame, key: list[str]) -> DataFrame:
+def score_headlines(
+    headlines: DataFrame, primary: DataFrame, secondary: DataFrame, key: list[str], reasons: DataFrame | None = None
+) -> DataFrame:
     """Each headline with the primary scorer's decision, else the secondary's label, else none.
 
     ``primary`` holds (key, choice, confidence, probabilities) and ``secondary`` (key,
-    sentiment, confidence, reason), each at most one row per key.
+    sentiment, confidence, reason), each at most one row per key. ``reasons`` may hold (key,
+    reason) for the primary scorer's decisions; without one, a fixed text stands in.
     """
     good = check_decisions(primary).where(F.col("problem").isNull()).select(
         *key, F.col("choice").alias("p_choice"), F.col("confidence").alias("p_conf"), "probabilities"
@@ -62,13 +66,17 @@ def score_headlines(headlines: DataFrame, primary: DataFrame, secondary: DataFra
         *key, F.col("sentiment").alias("s_choice"), F.col("confidence").alias("s_conf"), F.col("reason").alias("s_reason")
     )
     joined = headlines.join(good, key, "left").join(other, key, "left")
+    if reasons is None:
+        joined = joined.withColumn("p_reason", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(reasons.select(*key, F.col("reason").alias("p_reason")), key, "left")
     by_primary, by_secondary = F.col("p_choice").isNotNull(), F.col("s_choice").isNotNull()
     spread = F.round(F.col("probabilities")["positive"] - F.col("probabilities")["negative"], 4)
     return joined.select(
         *headlines.columns,
         F.coalesce("p_choice", "s_choice", F.lit("neutral")).alias("sentiment"),
         F.coalesce("p_conf", "s_conf", F.lit(0.0)).alias("confidence"),
-        F.when(by_primary, F.lit(None).cast("string")).when(by_secondary, F.col("s_reason"))
+        F.when(by_primary, F.coalesce("p_reason", F.lit(REASON_UNAVAILABLE))).when(by_secondary, F.col("s_reason"))
         .otherwise(F.lit(NOT_SCORED_REASON)).alias("brief_reason"),
         F.when(by_primary, F.col("probabilities")).alias("probabilities"),
         F.when(by_primary, "primary").when(by_secondary, "secondary").otherwise("none").alias("scored_by"),

@@ -33,8 +33,6 @@ CODE_FACTS = struct(
     name=TEXT, params=TEXTS, first_arg=TEXT, is_async=FLAG, is_generator=FLAG, returns_value=FLAG, raises=TEXTS,
     has_docstring=FLAG, code_lines=INT, modules=TEXTS, error=TEXT,
 )
-RSS_SCHEMA = struct(
-    channel=struct(
-        item=T.ArrayType(struct(title=TEXT, pubDate=TEXT, link=TEXT, source=struct(_VALUE=TEXT, _url=TEXT)))
-    )
-)
+_RSS_ITEMS = T.ArrayType(struct(title=TEXT, pubDate=TEXT, link=TEXT, source=struct(_VALUE=TEXT, _url=TEXT)))
+#: Items are children of the channel or, in RSS 1.0, of the root beside it.
+RSS_SCHEMA = struct(channel=struct(item=_RSS_ITEMS), item=_RSS_ITEMS)

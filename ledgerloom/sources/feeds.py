@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.functions.texts import blank_to_null, rfc822_utc, squeezed, without_publisher
 from ledgerloom.schemas import RSS_SCHEMA
 
+_ITEMS = RSS_SCHEMA["item"].dataType
+
 
 def _parsed(feeds: DataFrame) -> DataFrame:
     return feeds.withColumn("_rss", F.from_xml("xml", RSS_SCHEMA, {"rowTag": "rss"}))
@@ -14,14 +16,14 @@ def _parsed(feeds: DataFrame) -> DataFrame:
 
 def broken_feeds(feeds: DataFrame) -> DataFrame:
     """Documents that do not parse as XML: a NULL root, not an error."""
-    return _parsed(feeds).where(F.col("_rss.channel").isNull()).drop("_rss")
+    return _parsed(feeds).where(F.col("_rss.channel").isNull() & F.col("_rss.item").isNull()).drop("_rss")
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
     """Every item of (ticker, feed_rank, xml) documents in feed order, with ``usable`` for titled, dated ones."""
-    items = _parsed(feeds).select(
-        "ticker", "feed_rank", F.posexplode("_rss.channel.item").alias("pos", "item")
-    )
+    none = F.array().cast(_ITEMS)
+    listed = F.concat(F.coalesce("_rss.channel.item", none), F.coalesce("_rss.item", none))
+    items = _parsed(feeds).select("ticker", "feed_rank", F.posexplode(listed).alias("pos", "item"))
     publisher = blank_to_null(squeezed("item.source._VALUE"))
     rows = items.select(
         "ticker",
@@ -43,4 +45,5 @@ def parse_feed(feeds: DataFrame) -> DataFrame:
 
 
 def skipped_items(feeds: DataFrame) -> DataFrame:
+    """How many items of each document are not usable; documents without items have no row."""
     return feed_items(feeds).groupBy("ticker", "feed_rank").agg(F.count_if(~F.col("usable")).alias("skipped"))

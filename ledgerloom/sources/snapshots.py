@@ -10,15 +10,21 @@ SCHEMA_VERSION = 1
 SKIP_TEMPLATE = "the report was written from a template, so it is not cached"
 
 
-def save_snapshots(runs: DataFrame, path: str) -> None:
-    """Store runs (ticker, as_of, schema_version, generated_by, ...) by (ticker, as_of).
+def save_snapshots(runs: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Store runs (ticker, as_of, schema_version, generated_by, ...) by (ticker, as_of), tickers in upper case.
 
-    A pair that is present again replaces its partition; template-written runs are
-    never stored.
+    A pair that is present again replaces its partition; of several runs of a pair the one
+    with the greatest ``order`` columns (else the greatest row) is stored. Template-written
+    runs are never stored. Each pair is one file.
     """
-    kept = runs.where("generated_by <> 'template'")
+    kept = runs.where("generated_by <> 'template'").withColumn("ticker", F.upper("ticker"))
+    rest = [c for c in runs.columns if c not in ("ticker", "as_of")]
+    ranked = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    newest = kept.groupBy("ticker", "as_of").agg(F.max(F.struct(*ranked)).alias("_run"))
     (
-        kept.write.mode("overwrite")
+        newest.select("ticker", "as_of", *[F.col("_run")[c].alias(c) for c in rest])
+        .repartition("ticker", "as_of")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ticker", "as_of")
         .parquet(path)
@@ -42,9 +48,12 @@ def read_snapshots(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def lookup(requests: DataFrame, stored: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
-    """Requests (ticker, as_of, force_refresh) with action hit, miss or skip and its reason."""
+    """Requests (ticker, as_of, force_refresh) with action hit, miss or skip and its reason.
+
+    ``stored`` has tickers in upper case, so that only the partitions of the requests are read.
+    """
     found = stored.select(
-        F.upper("ticker").alias("ticker"), "as_of", F.col("schema_version").alias("stored_version"), "payload",
+        "ticker", "as_of", F.col("schema_version").alias("stored_version"), "payload",
         F.lit(True).alias("found"),
     )
     joined = requests.withColumn("ticker", F.upper("ticker")).join(found, ["ticker", "as_of"], "left")
@@ -67,10 +76,8 @@ def lookup(requests: DataFrame, stored: DataFrame, version: int = SCHEMA_VERSION
 
 
 def to_recompute(requests: DataFrame, stored: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
-    """Requests without a usable snapshot: forced ones, and an anti join for the rest."""
-    usable = stored.where((F.col("schema_version") == version) & F.col("payload").isNotNull()).select(
-        F.upper("ticker").alias("ticker"), "as_of"
-    )
+    """Requests without a usable snapshot: forced ones, and an anti join with ``stored`` (tickers in upper case) for the rest."""
+    usable = stored.where((F.col("schema_version") == version) & F.col("payload").isNotNull()).select("ticker", "as_of")
     wanted = requests.withColumn("ticker", F.upper("ticker"))
     forced = F.coalesce("force_refresh", F.lit(False))
     return (

@@ -231,7 +231,7 @@ SCORED = f"""{DEC}, sc AS (SELECT h.ticker, h.pos AS ord, h.publisher, h.publish
     CAST(coalesce(confidence, CASE WHEN s IS NOT NULL THEN 0.6 END, 0) AS DOUBLE) AS confidence,
     CASE WHEN choice IS NOT NULL THEN 'primary' WHEN s IS NOT NULL THEN 'secondary' ELSE 'none' END AS scored_by,
     CASE WHEN choice IS NOT NULL THEN round(p_pos - p_neg, 4) WHEN s = 'positive' THEN 0.6 WHEN s = 'negative' THEN -0.6 WHEN s = 'neutral' THEN 0.0 END AS score,
-    CASE WHEN choice IS NOT NULL THEN NULL WHEN s IS NOT NULL THEN 'tone of the text' ELSE 'Not scored: both scorers failed.' END AS brief_reason
+    CASE WHEN choice IS NOT NULL THEN 'No reason available: the LLM call failed.' WHEN s IS NOT NULL THEN 'tone of the text' ELSE 'Not scored: both scorers failed.' END AS brief_reason
   FROM h LEFT JOIN dec ON dec.ord = h.pos LEFT JOIN sec ON sec.ord = h.pos)"""
 S_W = f"WITH {HEAD}, {SCORED}"
 _SUM = """round(avg(score), 4) AS score, CASE WHEN round(avg(score), 4) > 0.2 THEN 'positive' WHEN round(avg(score), 4) < -0.2 THEN 'negative' WHEN avg(score) IS NOT NULL THEN 'neutral' END AS label, count(score) AS scored"""

@@ -223,7 +223,7 @@ def snapshot_lookup(spark, d):
 def snapshot_recompute(spark, d):
     runs = _stored_runs(spark, d)
     requests = runs.select("ticker", "as_of", (F.month("as_of") == 1).alias("force_refresh"))
-    return snapshots.to_recompute(requests, runs.where("generated_by <> 'template'")).select("ticker", "as_of")
+    return snapshots.to_recompute(requests, runs.where("generated_by <> 'template'").withColumn("ticker", F.upper("ticker"))).select("ticker", "as_of")
 
 
 def saved_reports(spark, d):

@@ -221,3 +221,10 @@ def test_fact_lines(spark):
     bare = facts.technical_facts(df.where("date > '2024-01-11'").withColumn("rsi_14", F.lit(None).cast("double")), summ).first().facts
     assert bare[3] == "50-day SMA vs 200-day SMA: +2.0% now; the value 10 trading days ago is unavailable"
     assert bare[4] == "RSI-14: unavailable"
+
+
+def test_too_few_prices_give_an_empty_row(spark):
+    rows = [("A", day, 100.0 + day % 3) for day in range(1, 29)] + [("B", day, 50.0) for day in range(1, 4)]
+    bars = spark.createDataFrame(rows, "ticker string, day int, close double").select("ticker", F.make_date(F.lit(2026), F.lit(1), "day").alias("date"), "close")
+    got = {r["ticker"]: (r["status"], r["warning"]) for r in I.volatility_report(bars, 5).collect()}
+    assert got == {"A": ("ok", None), "B": ("empty", "B has fewer than 6 daily prices, too few for a 5-day volatility")}

@@ -103,3 +103,11 @@ def test_default_request(spark):
 
 def test_generated_at_is_utc(spark):
     assert datetime(2024, 2, 1) == spark.sql("select timestamp'2024-02-01 00:00:00'").first()[0]
+
+
+def test_saving_two_runs_of_a_pair_keeps_the_newest(spark, tmp_path):
+    rows = [("aapl", 1, "llm", "one", 1), ("AAPL", 1, "llm", "two", 2), ("AAPL", 1, "template", "three", 3)]
+    runs = spark.createDataFrame(rows, "ticker string, schema_version int, generated_by string, payload string, seq int").withColumn("as_of", F.to_date(F.lit("2026-01-05")))
+    snapshots.save_snapshots(runs, str(tmp_path / "s"), ["seq"])
+    stored = snapshots.read_snapshots(spark, str(tmp_path / "s"), runs.schema)
+    assert [(r.ticker, r.payload) for r in stored.collect()] == [("AAPL", "two")]
