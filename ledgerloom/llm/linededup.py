@@ -14,9 +14,6 @@ PERCENT, LEAST_WORDS = 85, 5
 SLOTS = 1 << 16
 #: Classes of frequency for each doubling; 127 classes reach past 10^12 words a slot.
 CLASSES = 3
-#: Rows of one word beyond which its lines look for their hub in several parts.
-PART_ROWS = 1_000_000
-
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
@@ -33,23 +30,20 @@ def _frequencies(docs: DataFrame) -> bytes:
     return line["levels"].encode("ascii")  # SLOTS bytes, whatever the table's size
 
 
-def _ordered(words: Column, frequencies: bytes) -> Column:
-    """Distinct words as numbers that ascend with their frequency: its class in the upper 8 bits, 55 bits of the hash below."""
+def _codes(hashes: Column, frequencies: bytes) -> Column:
+    """32-bit codes of words that ascend with their frequency: its class, then 24 bits of the hash, in order.
+
+    Words may share a code, which is then there twice: two sets share at least as many codes as words.
+    """
     table = F.lit(bytearray(frequencies))
     level = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int"), F.lit(1)).cast("string"))
-    value = lambda h: F.shiftleft(level(h).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
-    return F.sort_array(F.transform(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)), value))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 24).bitwiseOR(F.shiftrightunsigned(h, 40).cast("int"))))
 
 
 def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
-def _needed_overlap(n: Column, m: Column, percent: int) -> Column:
-    """The least number of shared words of two sets of this similarity."""
-    return F.ceil((n + m) * percent / (100 + percent))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc (the id, null last), copy (which tells rows of one id with different texts apart) and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -66,9 +60,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     equal in id and text are one. Other columns are not read.
 
     Lines of equal word sets are one node. Nodes meet by the rarest words of each (prefix filter)
-    where lengths and positions allow the similarity. A node needs one earlier match only, so it
-    is first compared with the earliest node of each bucket; what found no match there is
-    compared with all. Word sets are looked up again in the texts, for the lines that need it.
+    where lengths and positions allow the similarity and the parities of their sets don't rule
+    it out. A node needs one earlier match only, so where the earliest node of a bucket passes
+    these filters it is the only one that a node meets there; other nodes meet all nodes of the
+    bucket that pass and aren't of later texts. Nodes that were led so but found no earlier match meet all of their
+    buckets afterwards. Word sets are looked up again in the texts, for the lines that need it.
     """
     c = F.col
     spark = docs.sparkSession
@@ -79,28 +75,38 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     def lines_of(table: DataFrame) -> DataFrame:
         return table.select("doc", "copy", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "_line")).select("doc", "copy", "line", _words(c("_line")).alias("_words"))
 
-    sets = lines_of(texts).filter(F.size("_words") >= least_words).select("doc", "copy", "line", _ordered(c("_words"), frequency).alias("_set"))
-    sets = sets.filter(F.size("_set") >= least_words)
+    hashed = lines_of(texts).filter(F.size("_words") >= least_words).select("doc", "copy", "line", F.sort_array(F.array_distinct(F.transform("_words", lambda w: F.xxhash64(w)))).alias("_set"))
     n = F.size("_set")
-    lines = save(sets.select("doc", "copy", "line", F.xxhash64("_set").alias("node"), n.alias("n"), F.slice("_set", F.lit(1), _prefix(n, percent)).alias("prefix")), "lines")
-    nodes = save(lines.groupBy("node").agg(F.min(F.struct("doc", "copy", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-nodes")
-
-    # rows of the inverted index, with the earliest node of their bucket
-    index = nodes.select("node", "n", c("first.doc").alias("doc"), F.posexplode("prefix").alias("pos", "word"))
-    rows = F.pow(2.0, F.shiftrightunsigned("word", 55) / CLASSES)
-    part = F.pmod(F.xxhash64("node"), F.greatest(F.ceil(rows / PART_ROWS), F.lit(1))).cast("int")
-    bucket = Window.partitionBy("word", "_part")
-    index = index.withColumn("_part", part).withColumn("_rows", F.count("*").over(bucket))
-    index = index.withColumn("_hub", F.min(F.struct("doc", "node", "n", "pos")).over(bucket)).filter("_rows > 1 or _part > 0")
-    index = save(index.select("node", "n", "pos", "word", "_hub"), "line-index")
-
-    def alike(n: Column, pos: Column, m: Column, at: Column) -> Column:
-        """Lengths and positions allow the similarity."""
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - pos - 1, m - at - 1) >= _needed_overlap(n, m, percent))
+    bits = F.aggregate("_set", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    lines = hashed.filter(n >= least_words).select("doc", "copy", "line", F.xxhash64("_set").alias("node"), n.alias("n"), bits.alias("bits"), F.slice(_codes(c("_set"), frequency), F.lit(1), _prefix(n, percent)).alias("prefix"))
+    lines = save(lines, "lines")
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc", "copy", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    nodes = save(nodes, "line-nodes")
+    # dealt once: all that follows reads the same columns of the same shuffle, whose rows no join has to filter
+    index = nodes.select("node", c("first.doc").alias("doc"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
+    index = index.filter(" and ".join(f"{k} is not null" for k in index.columns)).repartition("code")
+
+    def alike(left: str, right: str) -> Column:
+        """Lengths, positions and parities allow the similarity."""
+        x, y = (lambda k: c(left + k)), (lambda k: c(right + k))
+        sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+        reach = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1) >= F.ceil((x("n") + y("n")) * percent / (100 + percent))
+        return sizes & reach & (F.bit_count(x("bits").bitwiseXOR(y("bits"))) * (100 + percent) <= (x("n") + y("n")) * (100 - percent))
+
+    row = ["doc", "node", "n", "bits", "pos"]
+    met = index.withColumn("hub", F.min(F.struct(*row)).over(Window.partitionBy("code")))
+    led = met.withColumn("led", (c("hub.node") != c("node")) & alike("hub.", ""))
+    rest = led.filter(~c("led") & (c("hub.node") != c("node"))).select("code", *(c(k).alias(f"x_{k}") for k in row))
+    every = index.select("code", *(c(k).alias(f"y_{k}") for k in row))
+    earlier = (c("x_node") != c("y_node")) & (c("y_doc") <= c("x_doc"))
+    apart = rest.join(every, "code").filter(earlier & alike("x_", "y_")).select(c("x_node").alias("x"), c("y_node").alias("y"), F.lit(False).alias("hub"))
+    pairs = led.filter("led").select(c("node").alias("x"), c("hub.node").alias("y"), F.lit(True).alias("hub")).unionByName(apart)
+    led_by = lambda k: F.max(c("hub") & (c("x") == F.expr(k))).alias
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(led_by("least(x, y)")("a_led"), led_by("greatest(x, y)")("b_led"))
+    pairs = save(pairs, "line-pairs")
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later node of each pair (a, b) whose whole sets reach the similarity."""
-        pairs = save(pairs, "line-pairs")
         wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
         places = save(nodes.join(wanted, "node").select("node", "first.*"), "line-places")
         near = may_be_among(texts, places, ["doc", "copy"])
@@ -110,15 +116,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("words_a", "words_b"))
         enough = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
-        return both.filter(enough).select(F.when(c("at_a") > c("at_b"), c("a")).otherwise(c("b")).alias("node")).distinct()
-
-    ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    to_hub = ordered(index.filter((c("_hub.node") != c("node")) & alike(c("n"), c("pos"), c("_hub.n"), c("_hub.pos"))).select(c("node").alias("x"), c("_hub.node").alias("y")))
-    settled = save(later(to_hub), "line-settled")
-    open_rows = index.drop("_hub").join(settled, "node", "left_anti")
-    other = index.select(c("node").alias("y"), c("n").alias("m"), c("pos").alias("at"), "word")
-    rest = ordered(open_rows.withColumnRenamed("node", "x").join(other, "word").filter((c("x") != c("y")) & alike(c("n"), c("pos"), c("m"), c("at"))).select("x", "y"))
-    settled = save(settled.union(later(rest)).distinct(), "line-settled")
+        return save(both.filter(enough).select(F.when(c("at_a") > c("at_b"), c("a")).otherwise(c("b")).alias("node")).distinct(), "line-links")
+
+    settled = later(pairs)
+    again = pairs.filter("a_led").select(c("a").alias("node")).union(pairs.filter("b_led").select("b")).distinct()
+    again = save(again.join(settled, "node", "left_anti"), "line-again")
+    if not again.isEmpty():
+        rest = save(index.join(again, "node").select("code", *(c(k).alias(f"x_{k}") for k in row)), "line-rest")
+        apart = rest.join(may_be_among(every, rest, ["code"]), "code").filter(earlier & alike("x_", "y_"))
+        more = apart.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        settled = settled.union(later(save(more, "line-pairs"))).distinct()
 
     marked = nodes.select("node", "first").join(settled.withColumn("_gone", F.lit(True)), "node", "left")
     every = lines.select("doc", "copy", "line", "node").join(marked, "node")

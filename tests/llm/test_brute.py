@@ -181,6 +181,8 @@ def test_removed_lines(spark):
     line = " ".join(words)
     varied = [line.replace("t3 ", f"u{k} ") for k in range(4)]
     rows = [(1, line + "\nThe\nThe"), (2, varied[0] + "\n" + varied[1]), (3, " ".join(words[:20])), (4, line.upper()), (5, None), (6, ""), (7, varied[2] + "\nfresh words that were never seen before"), (None, line), (8, " ".join(words[4:] + ["n1", "n2", "n3"]))]
+    # near lines within one text, so that the earliest of a bucket is not told by its document
+    rows.append((9, "\n".join(" ".join(f"z{j}" for j in range(40) if j % 13 != k) + f" y{k}" for k in range(6))))
     got = linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc"]: list(r["removed"]) for r in got} == {i: k for (i, _), k in plain_removed(rows).items()}
 
