@@ -64,7 +64,9 @@ def live_unique_stories(headlines: DataFrame, days: int = 7) -> DataFrame:
 class ReplanCycles(StatefulProcessor):
     """Per (run, agent): the previous turn's calls, and whether the current turn has asked for any.
 
-    Rows of one micro-batch are put in write order; micro-batches arrive in write order.
+    Rows of one micro-batch are put in write order; micro-batches arrive in write order. State
+    doesn't expire: an expiry needs processing time, under which a run over what is available
+    now doesn't end.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:

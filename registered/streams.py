@@ -14,7 +14,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     schema = D.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 class _Streams:
