@@ -44,8 +44,10 @@ def checked_recommendations(spark, d):
 
 
 def recommendation_fallback(spark, d):
-    answers = _recommendations(spark, d).where("turn = 1").withColumn("ticker", F.col("conv_id").cast("string"))
-    tickers = D.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("ticker"))
+    """Every turn is asked for a recommendation."""
+    ticker = F.concat_ws("-", "conv_id", "turn").alias("ticker")
+    answers = _recommendations(spark, d).select("*", ticker)
+    tickers = D.table(spark, d, "conversations").select(ticker)
     out = R.with_placeholder(tickers, answers.select("ticker", "recommendation", "justification", "key_factors"))
     return out.select("ticker", "recommendation", "ok", F.size("key_factors").alias("factors"))
 
@@ -167,7 +169,7 @@ def fulfilled_requests(spark, d):
     runs = obs.select("run_id").distinct()
     need = F.when(F.col("run_id").cast("int") % 3 == 0, "price_data").when(F.col("run_id").cast("int") % 3 == 1, "volatility").otherwise("sentiment")
     out = R.fulfil_requests(
-        runs.withColumn("needs", need), E.latest_ok(obs.where("duration_ms > 80")), E.latest_ok(obs.where("duration_ms > 50"))
+        runs.withColumn("needs", need), E.latest_ok(TR._quick_is_empty(obs, 80)), E.latest_ok(TR._quick_is_empty(obs, 50))
     )
     return out.select("run_id", "tool", "fulfilled_by", F.col("data").isNotNull().alias("has_data"), F.size("warnings").alias("warnings"))
 
@@ -299,9 +301,9 @@ ORACLE = {
     "checked_recommendations": f"""WITH c AS (SELECT conv_id, turn, role, {SENTENCES.format(x='text')} AS s, length(text) % 5 + 1 AS k FROM conversations)
       SELECT conv_id, turn, concat_ws('; ', CASE WHEN role = 'system' THEN 'unknown recommendation Maybe' END, CASE WHEN s NOT BETWEEN 3 AND 5 THEN 'sentences: ' || s || ', wanted between 3 and 5' END,
         CASE WHEN k NOT BETWEEN 2 AND 4 THEN 'key factors: ' || k || ', wanted between 2 and 4' END) AS violations FROM c""",
-    "recommendation_fallback": f"""WITH c AS (SELECT conv_id, role, length(text) % 5 + 1 AS k FROM conversations WHERE turn = 1 AND role <> 'system' AND {SENTENCES.format(x='text')} BETWEEN 3 AND 5 AND length(text) % 5 + 1 BETWEEN 2 AND 4)
-      SELECT CAST(t.conv_id AS VARCHAR) AS ticker, CASE role WHEN 'user' THEN 'Buy' WHEN 'assistant' THEN 'Sell' ELSE 'Hold' END AS recommendation, role IS NOT NULL AS ok, coalesce(k, 2) AS factors
-      FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN c USING (conv_id)""",
+    "recommendation_fallback": f"""WITH c AS (SELECT conv_id, turn, role, length(text) % 5 + 1 AS k FROM conversations WHERE role <> 'system' AND {SENTENCES.format(x='text')} BETWEEN 3 AND 5 AND length(text) % 5 + 1 BETWEEN 2 AND 4)
+      SELECT t.conv_id || '-' || t.turn AS ticker, CASE role WHEN 'user' THEN 'Buy' WHEN 'assistant' THEN 'Sell' ELSE 'Hold' END AS recommendation, role IS NOT NULL AS ok, coalesce(k, 2) AS factors
+      FROM (SELECT DISTINCT conv_id, turn FROM conversations) t LEFT JOIN c ON c.conv_id = t.conv_id AND c.turn = t.turn""",
     "checked_research_answers": f"""WITH a AS (SELECT conv_id, arg_max(text, turn) AS x, count(*) FILTER (role = 'user') AS r, string_agg(CAST(turn AS VARCHAR), ', ' ORDER BY CAST(turn AS VARCHAR)) FILTER (role = 'user' AND length(text) % 4 = 3) AS bad,
         count(*) FILTER (role = 'assistant') AS l, max(turn) > 3 AS known FROM conversations GROUP BY conv_id), b AS (SELECT *, {SENTENCES.format(x='x')} AS s FROM a)
       SELECT conv_id, concat_ws('; ', CASE WHEN s NOT BETWEEN 3 AND 5 THEN 'sentences: ' || s || ', wanted between 3 and 5' END, CASE WHEN r <> 3 THEN 'risks: ' || r || ', wanted exactly 3' END,

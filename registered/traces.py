@@ -27,6 +27,11 @@ def _observations(spark, d):
     )
 
 
+def _quick_is_empty(observations, least: int):
+    """Calls that took up to ``least`` ms count as empty."""
+    return observations.withColumn("status", F.when(F.col("duration_ms") > least, F.col("status")).otherwise("empty"))
+
+
 def _evidence(spark, d):
     """Critique events as evidence rows citing a tool."""
     k = F.get_json_object("content", "$.k").cast("int")
@@ -164,12 +169,12 @@ def supported_evidence(spark, d):
 
 
 def dropped_evidence(spark, d):
-    out = E.dropped_evidence(_evidence(spark, d), _observations(spark, d).where("duration_ms > 60"))
+    out = E.dropped_evidence(_evidence(spark, d), _quick_is_empty(_observations(spark, d), 60))
     return out.select("run_id", "seq", "risk", "warning")
 
 
 def unsupported_risks(spark, d):
-    return E.unsupported_risks(_evidence(spark, d), _observations(spark, d).where("duration_ms > 60"))
+    return E.unsupported_risks(_evidence(spark, d), _quick_is_empty(_observations(spark, d), 60))
 
 
 def numbered_observations(spark, d):
