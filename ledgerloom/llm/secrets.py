@@ -89,12 +89,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     role = F.element_at(F.array(*(F.lit(k.part) for k in KINDS)), c("kind") + 1)
     parts = rows.withColumn("end", end).filter("ok").select("_key", "kind", (c("end") - c("size")).alias("start"), "end", role.alias("role"))
 
-    weak = parts.filter(c("kind") >= len(BASE)).withColumn("_bin", F.floor(c("start") / reach))
-    # a part is met in every stretch from which a start can be within reach of it
-    wide = F.sequence(F.greatest(F.floor((c("start") - reach) / reach) - 1, F.lit(0)), F.floor((c("end") + reach) / reach))
-    near = parts.select("_key", c("role").alias("_role"), c("start").alias("_start"), c("end").alias("_end"), F.explode(wide).alias("_bin"))
+    # both are sent to every stretch that they touch, parts with reach to either side, so any two that are near share one;
+    # of the stretches that they share only the first makes a row
+    stretches = lambda start, end: F.sequence(F.greatest(F.floor(start / reach), F.lit(0)), F.floor(end / reach))
+    weak = parts.filter(c("kind") >= len(BASE)).withColumn("_bins", stretches(c("start"), c("end"))).withColumn("_from", c("_bins")[0]).withColumn("_bin", F.explode("_bins")).drop("_bins")
+    near = parts.select("_key", c("role").alias("_role"), c("start").alias("_start"), c("end").alias("_end"), stretches(c("start") - reach, c("end") + reach).alias("_bins"))
+    near = near.withColumn("_near_from", c("_bins")[0]).withColumn("_near_bin", F.explode("_bins")).drop("_bins").withColumnRenamed("_key", "_near_key")
     apart = F.greatest(c("_start") - c("end"), c("start") - c("_end"))
-    met = weak.join(near, ["_key", "_bin"]).filter((c("_role") != c("role")) & (apart <= reach))
+    here = (c("_key") == c("_near_key")) & (c("_bin") == c("_near_bin")) & (c("_bin") == F.greatest("_from", "_near_from"))
+    met = weak.join(near, here & (c("_role") != c("role")) & (apart <= reach))
     met = met.groupBy("_key", "kind", "start", "end", "role").agg(*(F.max(c("_role") == r).alias(f"_{r}") for r in ("identifier", "secret")))
     wanted = F.lit(False)
     for part, needs in NEEDS.items():
