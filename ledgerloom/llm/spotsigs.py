@@ -21,6 +21,8 @@ ANCHORS = (
     "al como con del el es las lo los más no para por su sus una y"
 ).split()
 CHAIN = 2
+#: Content words in a row behind the last common word (or the beginning) from which on each begins a chain itself.
+GAP = 16
 _R = np.uint64(0xA0761D6478BD642F)
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
@@ -35,7 +37,11 @@ _ANCHORS = _anchor_hashes()
 
 
 def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' signatures as ascending distinct (text number << 32 | signature), and where each text's begin (and the end)."""
+    """All texts' signatures as ascending distinct (text number << 32 | signature), and where each text's begin (and the end).
+
+    Chains begin at common words, and at each content word where those are missing: in all of a text
+    in which no common word has a whole chain, and from the GAP-th content word in a row on in others.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -47,6 +53,8 @@ def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.n
     c_doc, c_hash = doc[content], hashes[content]
     spots = np.flatnonzero(common)
     after = np.searchsorted(content, spots)  # the first content word behind each anchor
+    behind = np.searchsorted(spots, content)  # the anchors before each content word
+    begin = np.maximum(np.searchsorted(c_doc, c_doc), np.concatenate([[0], after])[behind])
     whole = np.zeros(len(spots), bool)
     inside = after + chain <= len(content)
     whole[inside] = c_doc[after[inside] + chain - 1] == doc[spots[inside]]
@@ -54,6 +62,14 @@ def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.n
     value = hashes[spots]
     for k in range(chain):
         value = value * _R + c_hash[after + k]
+    anchored = np.zeros(len(texts), bool)
+    anchored[doc[spots]] = True
+    loose = np.flatnonzero(~anchored[c_doc] | (np.arange(len(content)) - begin >= GAP))
+    loose = loose[loose + chain <= len(content)]
+    loose = loose[c_doc[loose + chain - 1] == c_doc[loose]]
+    plain = np.ones(len(loose), np.uint64)
+    for k in range(chain):
+        plain = plain * _R + c_hash[loose + k]
     # each text's beginning is an anchor too; there a shorter chain will do, or the first word
     firsts = np.flatnonzero(np.diff(doc, prepend=-1))
     began = doc[firsts]
@@ -64,7 +80,7 @@ def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.n
         lead[here] = lead[here] * _R + c_hash[head[here] + k]
     bare = lead == 1
     lead[bare] = hashes[firsts[bare]]
-    values, owners = np.concatenate([B.mix(value), B.mix(lead)]), np.concatenate([doc[spots], began])
+    values, owners = np.concatenate([B.mix(value), B.mix(plain), B.mix(lead)]), np.concatenate([doc[spots], c_doc[loose], began])
     keys = np.unique(owners.astype(np.uint64) << np.uint64(32) | values >> np.uint64(32))
     return keys, np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
 

@@ -278,6 +278,18 @@ def test_signatures_follow_anchors():
     assert list(sets[0]) == list(sets[1]) and len(sets[0]) == 2 and len(sets[2]) == len(sets[3]) == 0 and len(sets[4]) == 1
 
 
+def test_texts_without_anchors_are_signed_throughout():
+    table = b"name | size | colour\nox | 12 | red\nemu | 7 | grey"
+    other = b"name | size | weight\nyak | 90 | heavy\ncod | 3 | light"
+    russian = ["слово текст " + " ".join(f"{x}{k}" for k in range(30)) for x in ("лес", "дом")]
+    mixed = [b"the first line " + b" ".join(b"%s%d" % (x, k) for k in range(60)) for x in (b"alpha", b"beta")]
+    sets = [set(x.tolist()) for x in spotsigs._sets([table, other, *(t.encode() for t in russian), *mixed, table[:-4] + b"blue"])]
+    assert [len(x) for x in sets[:4]] == [8, 8, 31, 31]
+    for left, right in ((0, 1), (2, 3), (4, 5)):
+        assert len(sets[left] & sets[right]) <= 2 < 8 <= len(sets[left] | sets[right])
+    assert min(len(sets[4]), len(sets[5])) > 40 and len(sets[0] & sets[6]) == 7
+
+
 def test_similar_fingerprints(docs):
     prints = spotsigs.fingerprints(docs).filter("doc_id is not null")
     members, pairs = spotsigs.similar(prints, 0.5)
