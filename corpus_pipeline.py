@@ -22,8 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that nearly repeat an earlier one; a document that had no other line goes, all others stay."""
-    return linededup.cleaned(docs)
+    """Removes lines that nearly repeat an earlier one, short ones too (up to 5 distinct words only of equal sets of words).
+
+    A document that had no other line goes, all others stay.
+    """
+    return linededup.cleaned(docs, least_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

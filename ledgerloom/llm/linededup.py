@@ -61,7 +61,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
 
     Lines of equal word sets are one node. Nodes meet by the rarest words of each (prefix filter)
     where lengths and positions allow the similarity and the parities of their sets don't rule
-    it out. A node needs one earlier match only, so where the earliest node of a bucket passes
+    it out; sets so small that only equal ones reach the similarity meet none. A node needs one earlier match only, so where the earliest node of a bucket passes
     these filters it is the only one that a node meets there; other nodes meet all nodes of the
     bucket that pass and aren't of later texts. Nodes that were led so but found no earlier match meet all of their
     buckets afterwards. Word sets are looked up again in the texts, for the lines that need it.
@@ -83,7 +83,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc", "copy", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = save(nodes, "line-nodes")
     # dealt once: all that follows reads the same columns of the same shuffle, whose rows no join has to filter
-    index = nodes.select("node", c("first.doc").alias("doc"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
+    near = (F.ceil(c("n") * percent / 100) < c("n")) | (F.floor(c("n") * 100 / percent) > c("n"))  # sets other than equal ones can be
+    index = nodes.filter(near).select("node", c("first.doc").alias("doc"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
     index = index.filter(" and ".join(f"{k} is not null" for k in index.columns)).repartition("code")
 
     def alike(left: str, right: str) -> Column:
@@ -134,7 +135,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """``docs`` without the removed lines; a row of which only blank lines would be left goes as a whole.
+    """``docs`` without the removed lines, by the ``limits`` of removed_lines; a row of which only blank lines would be left goes as a whole.
 
     All columns stay, whatever their names.
     """

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import compression, graph, linededup, oddsketch, packing, pieces, repetition, secrets, spotsigs, wordids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +188,19 @@ def test_removed_lines(spark):
     assert {r["doc"]: list(r["removed"]) for r in got} == {i: k for (i, _), k in plain_removed(rows).items()}
 
 
+def test_short_lines_repeat_too(spark):
+    rows = [
+        (1, "All rights reserved.\nno no no no no\n春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少\n\nalpha beta gamma delta epsilon zeta"),
+        (2, "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少\nall rights reserved.\n\nAll rights kept.\nNO no\nalpha beta gamma delta epsilon zeta eta"), (3, "All rights reserved."),
+        (4, "a b c d e\na b c d f\na b c d e f\na b c d e f g\na b c d"), (None, "a b c d e f\n\nx\n x"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc"], k) for r in linededup.removed_lines(table, least_words=1).collect() for k in r["removed"]}
+    assert got == {(i, k) for (i, _), lines in plain_removed(rows, least=1).items() for k in lines}
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
+    assert staged[2] == "\nAll rights kept." and 3 not in staged and staged[None] == "\nx"
+
+
 def test_cleaned_keeps_other_columns_and_drops_emptied_rows(odd_docs):
     got = linededup.cleaned(odd_docs)
     assert got.columns == odd_docs.columns
