@@ -11,79 +11,159 @@ that is frequent holds such a pair, so frequent phrases are counted whole, and o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ledgerloom.llm import bytehash as B
 from ledgerloom.session import shared_dir, spread, stored
 
 WORDS = 5
 LEAST, TOP, COVERED = 100, 2000, 100
 NAMES = [f"w{k + 1}" for k in range(WORDS)]
-#: Bytes of text a slot of the pair counts, and bounds of the number of slots (2 to the power): a bit each, 8 MB at most.
-BYTES_A_SLOT, FEWEST, MOST = 64, 10, 26
+#: Bytes of text a slot of the pair counts, and bounds of the number of slots (2 to the power): a bit each, 8 MB at most; and slots that travel together.
+BYTES_A_SLOT, FEWEST, MOST, CHUNK = 64, 10, 26, 1 << 14
 #: Languages whose totals may be broadcast.
 FEW = 10_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, ws): the words of every piece of a text; a null text has none, a null language is ``und``."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]")).alias("piece"))
-    return cut.select("lang", F.array_remove(F.split("piece", r"[\x20\x09]+"), "").alias("ws")).filter(F.size("ws") > 0)
-
-
-def _leads(words: DataFrame, n: int) -> DataFrame:
-    """(lang, w1 to wn): a row a word, with the words that follow it in the piece, null behind its end."""
-    ahead = [F.col("ws"), *(F.slice("ws", k + 1, F.size("ws")) for k in range(1, n))]
-    return words.select("lang", F.inline(F.arrays_zip(*ahead)).alias(*NAMES[:n]))
-
-
-def _slot(slots: int, left: str, right: str) -> Column:
-    return F.xxhash64("lang", left, right).bitwiseAND(F.lit(slots - 1))
-
-
-def frequent_slots(words: DataFrame, slots: int, least: int) -> np.ndarray:
-    """One bit a slot, in 64-bit words: whether the word pairs of the slot occur ``least`` times in all."""
-    pairs = _leads(words, 2).filter("w2 is not null").groupBy(_slot(slots, "w1", "w2").alias("slot")).count().filter(F.col("count") >= least)
-    found = pairs.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(max(slots // 64, 1), np.int64)  # at most a row for each of these
-    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+#: Bytes of text that are worked on, and pre-counted, at a time.
+RUN = 1 << 23
+_ENDS = np.zeros(256, bool)
+_ENDS[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def _words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+    """Runs of texts: distinct words, and for each word its code among them, its language (a row of ``langs``, by its first), its hash, and whether the next word is in the same piece."""
+    named = langs.dictionary_encode()
+    names, code = named.dictionary, named.indices.to_numpy()
+    first = np.zeros(len(names), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    salt = np.concatenate([np.zeros(0, np.uint64), *(B.slice_hashes(data, a, b) for _, _, data, a, b in B.parts(names))])
+    for row, _, data, starts, ends in B.parts(texts, RUN):
+        stop = _ENDS[data]
+        inside = ~stop & (data != 32) & (data != 9)
+        a, b = B.runs(inside, starts)
+        held = _FOLD[data[inside]]
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(b - a)])
+        words = pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(held)).dictionary_encode()
+        piece = np.cumsum(stop, dtype=np.int32)[a] if len(a) else np.zeros(0, np.int32)
+        owner = B.owner(ends, a)
+        goes_on = np.zeros(len(a), bool)
+        goes_on[:-1] = (piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1])
+        of = code[owner + row]
+        yield words.dictionary, words.indices.to_numpy().astype(np.int64), first[of], B.mix(B.slice_hashes(data, a, b, fold=True) + salt[of]), goes_on
+
+
+def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of the pair that each word but the last makes with the next."""
+    return (B.mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def frequent_slots(docs: DataFrame, slots: int, least: int) -> np.ndarray:
+    """One bit a slot: whether the word pairs of the slot occur ``least`` times in all.
+
+    A task counts in one table of all slots, up to a number that is frequent anyway. Tables travel in
+    chunks and are added in two rounds, so that no task meets the chunks of all others.
+    """
+    most = 255 if least <= 255 else (1 << 31) - 1
+    kind = np.uint8 if least <= 255 else np.int32
+    chunk, rounds = min(slots, CHUNK), max(int(docs.rdd.getNumPartitions() ** 0.5), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = np.zeros(slots, kind), TaskContext.get().partitionId() % rounds
+        for batch in batches:
+            for _, _, _, hashes, goes_on in _words(batch.column(0), batch.column(1)):
+                found, n = np.unique(_slots(hashes, slots)[goes_on[:-1]], return_counts=True)
+                table[found] = np.minimum(table[found] + n, most)
+        used = np.flatnonzero(table.reshape(-1, chunk).any(axis=1))
+        for at in used.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part]), pa.array([table[at * chunk : (at + 1) * chunk].tobytes()])], names=["at", "part", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(chunk, np.int64)
+        for counts in rows["counts"]:
+            total = np.minimum(total + np.frombuffer(counts, kind), most)
+        return pd.DataFrame({"at": rows["at"].iloc[:1], "counts": [total.astype(kind).tobytes()]})
+
+    parts = _rows(docs).mapInArrow(count, "at long, part long, counts binary")
+    for keys in (["at", "part"], ["at"]):
+        parts = parts.groupBy(*keys).applyInPandas(add, "at long, counts binary")
+    frequent = parts.mapInPandas(lambda frames: (pd.DataFrame({"at": f["at"], "bits": [np.packbits(np.frombuffer(x, kind) >= least, bitorder="little").tobytes() for x in f["counts"]]}) for f in frames), "at long, bits binary")
+    out = np.zeros(slots // chunk * (chunk // 8), np.uint8)  # at most 2 ** MOST bits
+    for row in frequent.toLocalIterator():
+        out[row["at"] * (chunk // 8) : (row["at"] + 1) * (chunk // 8)] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def windows(words: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, w1 to w5): one window a word, with '' behind the piece's end or an infrequent pair."""
-    table = words.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
-    held, slots = table.scalar(), 64 * len(bits)
-
-    def linked(left: str, right: str) -> Column:
-        slot = _slot(slots, left, right)
-        bit = F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
-        return F.col(right).isNotNull() & (F.call_function("shiftright", F.get(held, bit[0]), bit[1]).bitwiseAND(F.lit(1)) == 1)
-
-    rows = _leads(words, WORDS).withColumns({f"to{k + 1}": linked(NAMES[k - 1], NAMES[k]) for k in range(1, WORDS)})
-    whole, kept = F.lit(True), [F.col("lang"), F.col("w1")]
-    for k in range(1, WORDS):
-        whole = whole & F.col(f"to{k + 1}")
-        kept.append(F.when(whole, F.col(NAMES[k])).otherwise("").alias(NAMES[k]))
-    return rows.select(*kept)
+def _counted(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of every distinct row of the columns (numbers from -1 below ``base``), and how often it occurs."""
+    key = columns[0]
+    for column in columns[1:]:
+        key = np.unique(key, return_inverse=True)[1] * (base + 1) + column + 1
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return at, n
+
+
+def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(lang, w1 to w5, n): the windows of all words, counted run by run; '' stands behind a piece's end and behind an infrequent pair."""
+    slots = 8 * len(bits)
+
+    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, code, lang, hashes, goes_on in _words(batch.column(0), batch.column(1)):
+                if not len(code):
+                    continue
+                slot = _slots(hashes, slots)
+                linked = goes_on.copy()
+                linked[:-1] &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                columns, whole = [lang, code], linked
+                for k in range(1, WORDS):  # the k-th word ahead
+                    ahead = np.full(len(code), -1, np.int64)
+                    ahead[: len(code) - k] = np.where(whole[: len(code) - k], code[k:], -1)
+                    columns.append(ahead)
+                    whole = whole & np.concatenate([linked[k:], np.zeros(min(k, len(code)), bool)])
+                for chosen in (np.flatnonzero(~linked), np.flatnonzero(linked)):  # most windows are one word
+                    part = [x[chosen] for x in (columns if len(chosen) and linked[chosen[0]] else columns[:2])]
+                    at, n = _counted(part, len(words))
+                    at = chosen[at]
+                    names = [batch.column(0).take(pa.array(lang[at]))]
+                    names += [words.take(pa.array(x[at], mask=x[at] < 0)).fill_null("").cast(pa.string()) for x in columns[1:]]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(n)], names=["lang", *NAMES, "n"])
+
+    return _rows(docs).mapInArrow(list_windows, "lang string, " + "".join(f"{x} string, " for x in NAMES) + "n long")
+
+
+def _rolled_up(counted: DataFrame, names: list[str]) -> DataFrame:
+    """(lang, k, phrase, f): the sums by all prefixes of ``names``, with k = 0 those by language."""
+    summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    k, last = F.lit(None).cast("int"), F.lit("")
+    for gone in range(len(names) + 1):
+        k = F.when(F.col("g") == (1 << gone) - 1, len(names) - gone).otherwise(k)
+        last = F.when(F.col("g") == (1 << gone) - 1, F.col(names[len(names) - 1 - gone]) if gone < len(names) else F.lit("all")).otherwise(last)
+    return summed.withColumns({"k": k, "_last": last}).filter("_last <> ''").select("lang", "k", F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, k, phrase, f): all phrases of 1 to 5 words that occur ``least`` times in a language, and with k = 0 its number of words."""
+    """(lang, k, phrase, f): all phrases of 1 to 5 words that occur ``least`` times in a language, and with k = 0 its number of words.
+
+    The windows are stored in the shared folder. Those of one word, the most, are summed by
+    themselves: no longer phrase begins there.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     slots = 1 << min(max((size // BYTES_A_SLOT).bit_length(), FEWEST), MOST)
-    words = pieces(docs)
-    counted = windows(words, frequent_slots(words, slots, least)).groupBy("lang", *NAMES).agg(F.count("*").alias("c"))
-    summed = counted.rollup("lang", *NAMES).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
-    level, last = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for k in range(WORDS + 1):  # of the last k columns the sum is taken
-        level = F.when(F.col("g") == (1 << k) - 1, WORDS - k).otherwise(level)
-        last = F.when(F.col("g") == (1 << k) - 1, F.col(NAMES[WORDS - 1 - k]) if k < WORDS else F.lit("all")).otherwise(last)
-    found = summed.withColumns({"k": level, "_last": last}).filter(((F.col("k") == 0) | (F.col("f") >= least)) & (F.col("_last") != ""))
-    return found.select("lang", "k", F.concat_ws(" ", *NAMES).alias("phrase"), "f")
+    table = stored(windows(docs, frequent_slots(docs, slots, least)), shared_dir(docs.sparkSession, "windows"))
+    longer = _rolled_up(table.filter("w2 <> ''"), NAMES).filter((F.col("k") < 2) | (F.col("f") >= least))
+    both = longer.unionByName(_rolled_up(table.filter("w2 = ''"), NAMES[:1]))
+    return both.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("k") == 0) | (F.col("f") >= least))
 
 
 def scored(counts: DataFrame) -> DataFrame:

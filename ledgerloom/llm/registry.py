@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, collocations, compression, linededup, oddsketch, packing, pieces, repetition, rollups, secrets, spotsigs
+from ledgerloom.llm import chat, collocations, compression, linededup, oddsketch, packing, pieces, rankedsearch, repetition, rollups, secrets, spotsigs, toxicity
 
-_MODULES = [chat, collocations, compression, linededup, oddsketch, packing, pieces, repetition, rollups, secrets, spotsigs]
+_MODULES = [chat, collocations, compression, linededup, oddsketch, packing, pieces, rankedsearch, repetition, rollups, secrets, spotsigs, toxicity]
 
 
 def queries() -> dict:
