@@ -19,6 +19,8 @@ from ledgerloom.llm import bytehash as B
 
 #: Bounds of what is learned from: labelled texts of each label, their length, and features that are weighed.
 TOXIC, CLEAN, MOST_CHARS, FEATURES = 3000, 6000, 16_000, 20_000
+#: Features are hashed into so many slots, whatever the vocabulary.
+SLOTS = 1 << 20
 #: Bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Features have to be in so many of the texts, and to tell labels apart with this likelihood ratio.
@@ -31,7 +33,7 @@ STEPS, RATE, DECAY = 400, 0.05, 2e-4
 
 @dataclass(frozen=True)
 class Model:
-    """Ascending feature hashes and their weights, the bias, the weight of the log number of sentences, and the leak."""
+    """Ascending slots of features and their weights, the bias, the weight of the log number of sentences, and the leak."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -55,11 +57,12 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-    """For each kind of feature, a hash a word: the whole word, then its beginnings (0 where the word is no longer)."""
-    yield B.slice_hashes(data, starts, ends, fold=True)
+    """For each kind of feature, a slot a word: of the whole word, then of its beginnings (SLOTS where the word is no longer)."""
+    shift = np.uint64(64 - (SLOTS - 1).bit_length())
+    yield (B.slice_hashes(data, starts, ends, fold=True) >> shift).astype(np.int64)
     for n in BEGINNINGS:
-        part = B.slice_hashes(data, starts, np.minimum(starts + n, ends), fold=True) * np.uint64(2) + np.uint64(1)
-        yield np.where(ends - starts > n, B.mix(part), np.uint64(0))
+        part = B.mix(B.slice_hashes(data, starts, np.minimum(starts + n, ends), fold=True) * np.uint64(2) + np.uint64(1))
+        yield np.where(ends - starts > n, (part >> shift).astype(np.int64), SLOTS)
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -75,33 +78,38 @@ def _crowds(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     return count, np.log(count[owner])
 
 
-def _examples(texts: pa.Array):
-    """Distinct features of all texts with, for each occurrence, its sentence; and the text of each sentence."""
-    keys, of, owners, shift, first = [], [], [], 0, 0
+def _telling(texts: pa.Array, y: np.ndarray) -> np.ndarray:
+    """Ascending slots of at most FEATURES features whose share of texts differs most between the labels."""
+    found = np.zeros((2, SLOTS + 1))
     for row, end, data, starts, ends in B.parts(texts):
-        _, _, owner, a, b, sentence = _cut(data, starts, ends)
-        for hashes in _features(data, a, b):
-            keys.append(hashes[hashes != 0])
-            of.append(sentence[hashes != 0] + shift)
-        owners.append(owner + first)
-        shift, first = shift + len(owner), first + end - row
-    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return join(keys, np.uint64), join(of, np.int64), join(owners, np.int64)
-
-
-def _telling(keys: np.ndarray, texts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ascending hashes of at most FEATURES features whose share of texts differs most between the labels."""
-    distinct, code = np.unique(keys, return_inverse=True)
-    pairs = np.unique(code * len(y) + texts)
-    code, label = pairs // len(y), y[pairs % len(y)]
-    one, zero = np.bincount(code[label == 1], minlength=len(distinct)), np.bincount(code[label == 0], minlength=len(distinct))
+        a, b = B.runs(_letter(data), starts)
+        pairs = np.unique(np.concatenate([slot * (end - row) + B.owner(ends, a) for slot in _features(data, a, b)]))
+        label = y[row + pairs % (end - row)]
+        for k in (0, 1):
+            found[k] += np.bincount(pairs[label == k] // (end - row), minlength=SLOTS + 1)
+    zero, one = found[:, :SLOTS]
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     both = (one + zero) / (n1 + n0)
     part = lambda k, n: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * both, 1e-9)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - both), 1e-9))
     ratio = 2 * (part(one, n1) + part(zero, n0))
     able = np.flatnonzero((one + zero >= LEAST_TEXTS) & (ratio >= LEAST_RATIO))
-    best = able[np.lexsort((distinct[able], -ratio[able]))[:FEATURES]]
-    return np.sort(distinct[best])
+    return np.sort(able[np.lexsort((able, -ratio[able]))[:FEATURES]])
+
+
+def _examples(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each occurrence of a known feature: its number and its sentence; and the text of each sentence."""
+    number = np.full(SLOTS + 1, -1, np.int32)
+    number[known] = np.arange(len(known))
+    at, of, owners, shift = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for row, _, data, starts, ends in B.parts(texts):
+        _, _, owner, a, b, sentence = _cut(data, starts, ends)
+        for slots in _features(data, a, b):
+            hit = np.flatnonzero(number[slots] >= 0)
+            at.append(number[slots[hit]])
+            of.append(sentence[hit] + shift)
+        owners.append(owner + row)
+        shift += len(owner)
+    return np.concatenate(at), np.concatenate(of), np.concatenate(owners)
 
 
 def _sigmoid(z: np.ndarray | float) -> np.ndarray:
@@ -110,11 +118,8 @@ def _sigmoid(z: np.ndarray | float) -> np.ndarray:
 
 def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> Model:
     """Maximises the labels' likelihood over all weights by Adam, with a little decay; the same rows give the same model."""
-    keys, of, owner = _examples(texts)
-    known = _telling(keys, owner[of], y)
-    at = np.searchsorted(known, keys)
-    hit = (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == keys) if len(known) else np.zeros(len(keys), bool)
-    at, of = at[hit], of[hit]
+    known = _telling(texts, y)
+    at, of, owner = _examples(texts, known)
     _, crowd = _crowds(owner, len(y))
     share = float((weight * y).sum() / weight.sum())
     theta = np.zeros(len(known) + 3)  # weights, bias, crowd, log odds of the leak
@@ -166,16 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, toxic: int = TOXI
     return train(rows["text"].combine_chunks(), y, weight)
 
 
-def _sentence_chances(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Slices of all sentences, their texts, and their scores."""
+def _sentence_chances(model: Model, table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Slices of all sentences, their texts, and their scores; ``table`` has the weight of every slot."""
     low, high, owner, a, b, sentence = _cut(data, starts, ends)
     _, crowd = _crowds(owner, len(starts))
     z = model.bias + model.crowd * crowd
-    if len(model.keys):
-        for hashes in _features(data, a, b):
-            at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1)
-            hit = model.keys[at] == hashes
-            z += np.bincount(sentence[hit], weights=model.weights[at[hit]], minlength=len(z))
+    for slots in _features(data, a, b):
+        weight = table[slots]
+        hit = np.flatnonzero(weight)
+        z += np.bincount(sentence[hit], weights=weight[hit], minlength=len(z))
     return low, high, owner, _sigmoid(z)
 
 
@@ -195,10 +199,12 @@ def with_score(docs: DataFrame, model: Model | None, keep: list[str], text_col:
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS + 1)
+        table[model.keys] = model.weights
         for batch in batches:
             scores, found, cuts = [np.zeros(0)], [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]], [np.zeros(1, np.int64)]
             for _, _, data, starts, ends in B.parts(batch.column(batch.num_columns - 1)):
-                low, high, owner, p = _sentence_chances(model, data, starts, ends)
+                low, high, owner, p = _sentence_chances(model, table, data, starts, ends)
                 rest = np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(starts))
                 scores.append(1 - (1 - model.leak) * np.exp(rest))
                 bad = np.flatnonzero(p >= least)

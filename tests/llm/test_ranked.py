@@ -93,10 +93,10 @@ def plain_scores(model, text):
         z = model.bias + model.crowd * math.log(len(spans))
         for word in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text[a:b]):
             raw = word.translate(UPPER_LOWER).encode()
-            keys = [one_hash(raw)]
+            keys = [one_hash(raw) >> 44]
             for n in toxicity.BEGINNINGS:
                 if len(raw) > n:
-                    keys.append(int(bytehash.mix(np.array([(one_hash(raw[:n]) * 2 + 1) % (1 << 64)], np.uint64))[0]))
+                    keys.append(int(bytehash.mix(np.array([(one_hash(raw[:n]) * 2 + 1) % (1 << 64)], np.uint64))[0]) >> 44)
             z += sum(weights.get(k, 0.0) for k in keys)
         p = 1 / (1 + math.exp(-z))
         rest *= 1 - p
