@@ -30,7 +30,7 @@ BYTES_A_SLOT, FEWEST, MOST, CHUNK = 64, 10, 26, 1 << 14
 #: Languages whose totals may be broadcast.
 FEW = 10_000
 #: Bytes of text that are worked on, and pre-counted, at a time.
-RUN = 1 << 23
+RUN = 1 << 21
 _ENDS = np.zeros(256, bool)
 _ENDS[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
