@@ -26,7 +26,11 @@ from ledgerloom.session import shared_dir, stored
 
 SPACE = "▁"
 #: Characters of a chunk; only longer texts are split.
-CHUNK = 65_536
+CHUNK = 4096
+#: Bytes that a worker's table of units and that of neighbours may each take, about.
+TABLE_BYTES = 48 << 20
+#: What an entry takes beside its characters: objects and their place in a dict; and what a pair of neighbours takes.
+ENTRY_BYTES, PAIR_BYTES = 230, 160
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Before a space mark that follows another character no piece goes on.
 _SAFE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -40,7 +44,7 @@ Matrix = dict[State, dict[State, float]]
 class Pieces:
     """A model's pieces and what may follow what."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,7 +67,9 @@ class Pieces:
         marks = [m for m in "!\"#$%&()*+,-./:;<=>?@[]^_|~" if not any(re.search(f"[{_LETTERS}]{re.escape(m)}", p) for p in self.ids)]
         parted = [f"(?<=[^{SPACE}])(?={SPACE})", f"(?<=[{_LETTERS}])(?=[{re.escape(''.join(marks))}])"]
         self._parted = re.compile("|".join(parted + [r"(?<=\n)|(?=\n)"] * all("\n" not in p for p in self.ids)))
-        self._most, self._follows, self._pairs, self._units = most, {}, 0, {}
+        self._most, self._follows, self._pairs = table_bytes, {}, 0
+        # units met since the table was half full, and those met before; memory is bounded whatever the vocabulary
+        self._units, self._old, self._size = {}, {}, 0
 
     def merged(self, text: str) -> list[str]:
         """The merges in their order on a short text: best score first, then leftmost."""
@@ -83,7 +89,7 @@ class Pieces:
         return self.merged(left + right) == [left, right]
 
     def _known(self, left: str) -> dict[str, bool]:
-        if self._pairs >= 2 * self._most:
+        if self._pairs * PAIR_BYTES >= self._most:
             self._follows, self._pairs = {}, 0
         return self._follows.setdefault(left, {})
 
@@ -170,9 +176,13 @@ class Pieces:
         """Ids of text that starts and ends where no piece goes on."""
         packed = self._units.get(text)
         if packed is None:
-            if len(self._units) >= self._most:
-                self._units.clear()
-            packed = self._units[text] = self.pack(self.path(text)) if text else b""
+            packed = self._old.get(text)
+            if packed is None:
+                packed = self.pack(self.path(text)) if text else b""
+            if self._size >= self._most // 2:
+                self._old, self._units, self._size = self._units, {}, 0
+            self._units[text] = packed
+            self._size += ENTRY_BYTES + len(text) + len(packed)
         return packed
 
     def whole(self, text: str) -> bytes:
@@ -272,6 +282,15 @@ def _marked(text: str) -> str:
 def encoded(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, copy, row, parts, part, ids): a text's ids are those of its parts in order, as little-endian 32-bit numbers.
 
+    The union of ``encoded_parts``; who reads short and long texts apart takes those.
+    """
+    short, long_ones = encoded_parts(docs, model_path, chunk, id_col, text_col)
+    return short.unionByName(long_ones)
+
+
+def encoded_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``encoded`` of texts of one part, and those of longer texts.
+
     A text of up to ``chunk`` characters has one part, a longer one as many as it takes. A null or
     empty text has one part without ids. ``copy``, a hash of the text, tells texts of one id
     apart, ``row`` (from 0) repeated rows of a long text; repeated short ones have row 0. Null
@@ -347,7 +366,7 @@ def encoded(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str =
     traced = joined.mapInPandas(back, schema).alias("t").join(repeats.alias("r"), c("t.id").eqNullSafe(c("r.id")) & (c("t.copy") == c("r.copy")))
     traced = traced.select("t.*", F.explode(F.sequence(F.lit(0), c("r.n") - 1)).alias("row"))
     firsts = rows.filter(F.char_length("text") <= chunk).mapInPandas(short, schema).withColumn("row", F.lit(0))
-    return firsts.unionByName(traced).withColumnRenamed("id", id_col)
+    return firsts.withColumnRenamed("id", id_col), traced.withColumnRenamed("id", id_col)
 
 
 def decoded(ids: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -371,7 +390,7 @@ def model_file() -> str:
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids, digested, and the digest of its text as read back from them."""
     path = model_file()
-    parts = encoded(spark.read.parquet(f"{d}/documents.parquet"), path)
+    short, cut = encoded_parts(spark.read.parquet(f"{d}/documents.parquet"), path)
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "parts"]
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, parts int"
 
@@ -386,8 +405,8 @@ def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
         frame = frame.sort_values("part")
         return pd.DataFrame([digest(frame["doc_id"].iloc[0], b"".join(frame["ids"]), len(frame))], columns=names)
 
-    long_ones = parts.filter("parts > 1").groupBy("doc_id", "copy", "row").applyInPandas(together, schema)
-    return parts.filter("parts = 1").mapInPandas(each, schema).unionByName(long_ones)
+    long_ones = cut.groupBy("doc_id", "copy", "row").applyInPandas(together, schema)
+    return short.mapInPandas(each, schema).unionByName(long_ones)
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}
