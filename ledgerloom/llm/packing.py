@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.llm.wordids import word_ids
@@ -37,20 +38,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     id_type = picked.schema["id"].dataType.simpleString()
     end = END_ID.to_bytes(4, "little")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame["id"], frame["text"], strict=True):
-                ids = words.of(text or "") + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=names)
+        for batch in batches:
+            row, start, length, crc, parts = [], [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                ids = memoryview(words.of(text.as_py() or "") + end)
+                for at in range(0, len(ids), 4 * capacity):
+                    part = ids[at : at + 4 * capacity]
+                    row.append(k)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        parts.append(bytes(part))
+            begin = pa.array(start, pa.int64())
+            piece = pa.array([x // capacity for x in start], pa.int32())
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), piece, begin, pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(parts, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return picked.mapInPandas(cut, schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

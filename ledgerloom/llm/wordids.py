@@ -13,6 +13,8 @@ _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _WIDE = re.compile("[^\x00-\xff]")
 _GAP = re.compile("[ \t\n\r]+")
+#: Bytes that a worker's table may take, about, and what an entry takes beside its word and ids: objects and their place in a dict.
+TABLE_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
 class WordIds:
@@ -21,11 +23,11 @@ class WordIds:
     The tokenizer folds case, drops white space and never merges across words, and each word's
     last token is marked as a word end. So Latin-1 text is cut into words here, and new words are
     encoded many at a time and parted at the word ends; other text is cut at white space
-    and encoded run by run. The ids are those of the whole text. When the table has ``most``
-    entries, those not met since it was last half full go: memory is bounded whatever the vocabulary.
+    and encoded run by run. The ids are those of the whole text. When the table takes about ``most``
+    bytes, words not met since it was last half full go: memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,15 +36,16 @@ class WordIds:
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
         for token, k in self._tokenizer.get_vocab().items():
             self._ends[k] = token.endswith("</w>")
-        self._now, self._old, self._half = {}, {}, most // 2
+        self._now, self._old, self._half, self._size = {}, {}, most // 2, 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _put(self, word: str, ids: bytes) -> None:
-        if len(self._now) >= self._half:
-            self._old, self._now = self._now, {}
+        if self._size >= self._half:
+            self._old, self._now, self._size = self._now, {}, 0
         self._now[word] = ids
+        self._size += ENTRY_BYTES + len(word) + len(ids)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         found = {w: self._old.get(w) for w in words}
