@@ -81,11 +81,12 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set), bands, sketch and parity of every row. Nothing is shuffled.
+    """doc_id, copy (a hash of the text, null as empty), n_shingles, set_id (a digest of the set), bands, sketch and parity of every row. Nothing is shuffled.
 
     Rows without words have no set: n_shingles 0 and nulls.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +95,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 keys, sketch = _folded(np.stack([_samples(s) for s in sets]))
                 none = np.array([len(s) == 0 for s in sets])
                 digests = pa.array([_digest(s) for s in sets], pa.int64(), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), digests, _lists(keys), _lists(sketch), _lists(_parity(sets))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], pa.array([len(s) for s in sets], pa.int64()), digests, _lists(keys), _lists(sketch), _lists(_parity(sets))], names=names)
 
-    names = ["doc_id", "n_shingles", "set_id", "bands", "sketch", "parity"]
-    return picked.mapInArrow(measure, "doc_id long, n_shingles long, set_id long, bands array<long>, sketch array<long>, parity array<long>")
+    names = ["doc_id", "copy", "n_shingles", "set_id", "bands", "sketch", "parity"]
+    return picked.mapInArrow(measure, "doc_id long, copy long, n_shingles long, set_id long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _differing(left: str, right: str, bits: int = BITS) -> Column:
@@ -119,14 +120,14 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 2
     """Which of the pairs (lead, member) of set ids share PERCENT of the union of their whole sets, as links (a, b).
 
     A lead's text is sent once for every ``per_task`` of its members, so a hot lead is spread.
-    sets: (set_id, doc_id); docs: (doc_id, text).
+    sets: (set_id, doc, copy); docs: (doc, copy, text), doc being the id or what stands for a null one.
     """
     c = F.col
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_salts"))
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("member"), c("_salts")).cast("int").alias("salt"), F.lit(True).alias("is_member"), c("member").alias("set_id"))
     leads = members.select("lead", "salt").distinct().select("lead", "salt", F.lit(False).alias("is_member"), c("lead").alias("set_id"))
-    needs = stored(members.unionByName(leads).join(sets.select("set_id", "doc_id"), "set_id"), shared_dir(docs.sparkSession, "needed"))
-    texts = may_be_among(docs, needs, ["doc_id"]).join(needs, "doc_id").select("lead", "salt", "is_member", "set_id", "text")
+    needs = stored(members.unionByName(leads).join(sets.select("set_id", "doc", "copy"), "set_id"), shared_dir(docs.sparkSession, "needed"))
+    texts = may_be_among(docs, needs, ["doc", "copy"]).join(needs, ["doc", "copy"]).select("lead", "salt", "is_member", "set_id", "text")
     dealt = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "is_member")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 2
                 found = []
                 for k, shingles in zip(range(low, high), shingle_sets(data, starts, ends), strict=True):
                     if _digest(shingles) != ids[k]:
-                        continue  # another text of the same document id
+                        continue  # another text of the same id and hash
                     if not is_member[k]:
                         head, own = (leads[k], salts[k]), shingles
                     elif head == (leads[k], salts[k]):
@@ -151,13 +152,15 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, per_task: int = 2
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, copy, n_shingles, component_id, kept and first for every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at least PERCENT similarity; a
     row is kept if that is its own id. Rows without words are linked with nothing. Copies of
     one set are one node. Rows of a null id take part, and are kept only where no row with an
     id is reachable. Rows of one id with different texts are nodes of their own; their component's
-    id counts for each. Other columns are not read. An empty table gives an empty one.
+    id counts for each. ``first`` marks one text of every component, that with the smallest id (null
+    last) and hash of the text, and rows without words; rows equal in id and text are one.
+    Other columns are not read. An empty table gives an empty one.
 
     Candidates are nodes that share a band. Verifying all of them would take the square of a
     group's size, so in ``hub_rounds`` every node of a bucket is first compared with one hub of
@@ -169,10 +172,12 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     c = F.col
     spark = docs.sparkSession
     save = lambda df, name: stored(df, shared_dir(spark, name))
-    texts = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text"))
-    rows = save(sketches(texts), "sketches")
-    firsts = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = save(rows.select("set_id", "doc_id", c("n_shingles").alias("n"), "bands", "sketch", "parity").join(firsts, ["set_id", "doc_id"]).dropDuplicates(["set_id"]), "sets")
+    text, doc = F.coalesce(c("text").cast("string"), F.lit("")), F.coalesce(c("doc_id").cast("long"), F.lit(2**63 - 1))
+    texts = docs.select(doc.alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    rows = save(sketches(docs), "sketches")
+    keyed = rows.withColumn("doc", doc)
+    firsts = keyed.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc", "copy")).alias("_first")).select("set_id", "_first.*")
+    sets = save(keyed.select("set_id", "doc", "copy", c("n_shingles").alias("n"), "bands", "sketch", "parity").join(firsts, ["set_id", "doc", "copy"]).dropDuplicates(["set_id"]), "sets")
 
     banded = sets.select("set_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
@@ -227,19 +232,20 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     if not pairs.isEmpty():
         labels = merged(save(linked(pairs, sets, texts), "linked"))
 
-    named = rows.select("doc_id", "n_shingles", "set_id")
+    named = keyed.select("doc_id", "doc", "copy", "n_shingles", "set_id")
     if labels is not None:
         named = named.join(labels, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
     else:
         named = named.withColumn("_group", c("set_id"))
-    lowest = named.groupBy("_group").agg(F.min("doc_id").alias("_id"))
+    lowest = named.groupBy("_group").agg(F.min("doc_id").alias("_id"), F.min(F.struct("doc", "copy")).alias("_first"))
     out = named.join(lowest, "_group", "left").withColumn("component_id", F.when(c("set_id").isNull(), c("doc_id")).otherwise(c("_id")))
     kept = c("component_id").isNull() | F.coalesce(c("doc_id") == c("component_id"), F.lit(False))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    first = c("set_id").isNull() | F.coalesce((c("doc") == c("_first.doc")) & (c("copy") == c("_first.copy")), F.lit(False))
+    return out.select("doc_id", "copy", "n_shingles", "component_id", kept.alias("kept"), first.alias("first"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{d}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
