@@ -8,8 +8,8 @@ from ledgerloom.llm.bitmaps import may_be_among
 from ledgerloom.session import shared_dir, stored
 
 #: Jaccard similarity of two lines' sets of words from which the later one goes, in percent, and the fewest
-#: distinct words of a line that is compared: shorter ones are headings and phrases, and always stay.
-PERCENT, LEAST_WORDS = 85, 5
+#: distinct words of a line that is compared: all that have a word.
+PERCENT, LEAST_WORDS = 85, 1
 #: Slots of the table of word frequencies; words that share one are ordered by its sum, which changes no result.
 SLOTS = 1 << 16
 #: Classes of frequency for each doubling; 127 classes reach past 10^12 words a slot.
