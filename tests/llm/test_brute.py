@@ -28,7 +28,7 @@ def docs(spark, sf, odd_docs):
 # repetition
 
 
-def plain_repetition(text):
+def plain_repetition(text, lengths=(5, 10)):
     text = text or ""
     ws, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
 
@@ -39,7 +39,7 @@ def plain_repetition(text):
     counts = Counter(lines)
     out = [len(ws), sum(map(len, ws)), sum(text.count(x) for x in "#*$%&|<>"), len(lines), len(lines) - len(counts)]
     out += [sum(len("".join(WORD.findall(x))) for x in lines if counts[x] > 1), len(covered(3))]
-    return tuple(out + [sum(len(ws[k]) for k in covered(n)) for n in (5, 10)])
+    return tuple(out + [sum(len(ws[k]) for k in covered(n)) for n in lengths])
 
 
 def test_repetition(docs):
@@ -47,6 +47,25 @@ def test_repetition(docs):
     assert Counter(map(tuple, got.collect())) == Counter(plain_repetition(r["text"]) for r in docs.collect())
 
 
+def plain_kept(measures):
+    words, chars, _, lines, dup_lines, dup_line_chars, repeat_words, *covered = measures
+    shares = zip(covered, (0.30, 0.28, 0.26, 0.24, 0.22, 0.20), strict=True)
+    failed = words < 50 or 100 * repeat_words > 50 * words
+    return failed, not failed and all(x <= share * chars for x, share in shares) and dup_line_chars <= 0.40 * chars and dup_lines <= 0.30 * lines
+
+
+def test_quality_rules_of_a_whole_table(spark, sf):
+    """All columns of the query, its verdict too, on all documents."""
+    texts = Counter((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    want = Counter()
+    for (i, text), n in texts.items():
+        measures = plain_repetition(text, (5, 6, 7, 8, 9, 10))
+        want[(i, *measures, *plain_kept(measures))] += n
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", *(f"dup{k}_chars" for k in range(5, 11)), "base_failed", "kept"]
+    got = Counter(map(tuple, repetition.op7_quality_rules(spark, sf).select(names).collect()))
+    assert got == want and {k[-1] for k in want} == {True, False}
+
+
 # packing
 
 
@@ -153,6 +172,35 @@ def test_chained_near_duplicates_meet_in_one_component(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
 
 
+def test_near_copies_without_ids_and_of_one_id(spark):
+    """Rows of null and of repeated ids take part with their own texts; the stage keeps one text of each group."""
+    words = [f"b{k}" for k in range(60)]
+    text = " ".join(words)
+    other = " ".join(f"c{k}" for k in range(60))
+    rows = [
+        (5, text), (None, text.replace("b30 ", "x ")), (None, text), (None, text), (7, other), (7, other.replace("c20 ", "y ")), (8, other.replace("c40 ", "z ")), (8, "another text of this id"),
+        (None, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (9, ""), (9, "A B c d e F g h i"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"copy": F.lit("c"), "first": F.lit(1), "doc": F.lit(2)})
+    got = oddsketch.near_duplicates(table).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter({
+        (5, 56, 5): 1, (None, 56, 5): 3, (7, 56, 7): 2, (8, 56, 7): 1, (8, 1, 8): 1, (None, 3, None): 2, (None, 0, None): 1, (9, 0, 9): 1, (9, 5, 9): 1,
+    })
+    kept = corpus_pipeline.near_dedup(spark, table, "")
+    assert kept.columns == table.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) in [
+        Counter([(5, text), (7, x), (8, "another text of this id"), (None, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (9, ""), (9, "A B c d e F g h i")]) for x in (other, other.replace("c20 ", "y "))
+    ]
+
+
+def test_recall_on_a_whole_table(spark):
+    """All links of documents with similarity of at least 0.75, by a join over all shared shingles."""
+    d = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = oddsketch.op10_minhash_near_dedup(spark, d).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (7, 7), (1, 2), (20, 10), (20, 11), (None, 3)]
     got = graph.components(spark.createDataFrame(links, "a long, b long"))
@@ -202,8 +250,9 @@ def test_short_lines_repeat_too(spark):
 
 
 def test_cleaned_keeps_other_columns_and_drops_emptied_rows(odd_docs):
-    got = linededup.cleaned(odd_docs)
+    got = linededup.cleaned(odd_docs, least_words=5)
     assert got.columns == odd_docs.columns
+    assert linededup.cleaned(odd_docs).filter("doc_id in (9, 10)").select("doc_id").collect() == [(9,)]
     by = {}
     for r in got.collect():
         by.setdefault(r["doc_id"], []).append(r["text"])
@@ -333,6 +382,22 @@ def test_quality_on_held_out_rows(spark):
     assert judged.filter("quality = 1 and predicted = 0").count() <= 0.03 * all_rows
 
 
+def test_scores_by_plain_zstandard(spark, sf, docs):
+    import math
+
+    import zstandard
+
+    model = compression.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad))
+    for r in compression.with_score(docs, model, ["doc_id", "text"]).collect():
+        raw = (r["text"] or "").encode()
+        blocks = [raw[k : k + 2000] for k in range(0, len(raw), 2000)]
+        saved = sum(len(bad.compress(x)) - len(good.compress(x)) for x in blocks) / max(len(raw), 1)
+        weight = len(raw) / (len(raw) + 100)
+        z = weight * (model.slope * saved + model.bias) + (1 - weight) * model.prior
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_scores_of_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(r["doc_id"], k % 2) for k, r in enumerate(odd_docs.collect())] + [(77, 1), (None, 0), (1, None)], "doc_id long, quality int")
     model = compression.fit(odd_docs, labels)
@@ -377,6 +442,30 @@ def test_chunks_join_to_the_whole(spark, chunk):
     assert made == want
 
 
+def test_pieces_of_a_whole_table(spark):
+    """The query's own columns on all documents; the longer ones come through the scan."""
+    import hashlib
+
+    import sentencepiece
+
+    d = "/root/testdata/sf0.01"
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_file())
+    got, want, cut = Counter(), Counter(), 0
+    for r in pieces.op8_sentencepiece(spark, d).collect():
+        got[r["doc_id"], r["n_tokens"], r["ids_crc32"], r["decoded_sha256"]] += 1
+        cut += r["parts"] > 1
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        ids = library.encode(r["text"] or "")
+        want[r["doc_id"], len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
+    assert got == want and cut > 100
+
+
+def test_small_tables_of_pieces_change_nothing(docs):
+    whole, small = pieces.pieces_of(pieces.model_file()), pieces.Pieces(pieces.model_file(), 2000)
+    for r in docs.limit(60).collect():
+        assert whole.whole(pieces._marked(r["text"] or "")) == small.whole(pieces._marked(r["text"] or ""))
+
+
 def test_matrix_product_is_associative():
     a = {(0, "x"): {(0, "y"): 1.0, (1, "z"): 2.0}}
     b = {(0, "y"): {(0, "q"): 5.0}, (1, "z"): {(0, "q"): 3.0, (2, "r"): 1.0}}

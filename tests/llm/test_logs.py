@@ -68,9 +68,30 @@ def test_rollup_batches_are_idempotent_and_in_any_order(spark, tmp_path):
     for k in (2, 1, 3, 1, 3):
         rollups.commit(changes(spark, batches[k]), k, path)
     assert {tuple(r) for r in rollups.totals(spark, path).collect()} == want
-    rollups.compact(spark, path, str(tmp_path / "compact"))
-    rollups.commit(changes(spark, [(None, None, 1)]).limit(0), 4, str(tmp_path / "compact"))
-    assert {tuple(r) for r in rollups.totals(spark, str(tmp_path / "compact")).collect()} == want
+    rollups.compact(spark, path)
+    for k in (1, 3, 2):  # what is sent again after compaction changes nothing
+        rollups.commit(changes(spark, batches[k]), k, path)
+    assert {tuple(r) for r in rollups.totals(spark, path).collect()} == want
+    rollups.commit(changes(spark, [(None, a, 1)]), 4, path)
+    rollups.compact(spark, path)
+    rollups.commit(changes(spark, [(None, a, 1)]), 4, path)
+    assert {tuple(r) for r in rollups.totals(spark, path).collect()} == want - {("s", "en", "v1", 1, 7, 30)} | {("s", "en", "v1", 2, 12, 50)}
+
+
+def test_rollup_without_batches(spark, tmp_path):
+    assert rollups.totals(spark, str(tmp_path / "none")).collect() == []
+    rollups.commit(changes(spark, [(None, None, 1)]), 0, str(tmp_path / "some"))
+    assert rollups.totals(spark, str(tmp_path / "some")).collect() == []
+
+
+def test_a_failed_commit_leaves_the_former(spark, tmp_path):
+    """Folders that Spark has not marked complete don't count."""
+    path = str(tmp_path / "rollup")
+    row = ("s", "en", "v1", 5, 20)
+    rollups.commit(changes(spark, [(None, row, 1)]), 7, path)
+    half = f"{path}/batch=7/{rollups._new_name()}"
+    rollups.deltas(changes(spark, [(None, row, 1), (None, row, 1)])).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    assert [r["docs"] for r in rollups.totals(spark, path).collect()] == [1]
 
 
 def test_rollup_follows_a_stream(spark, tmp_path):
@@ -82,9 +103,32 @@ def test_rollup_follows_a_stream(spark, tmp_path):
     assert [tuple(r) for r in rollups.totals(spark, str(tmp_path / "out")).collect()] == [("s", "en", "v1", 3, 3, 3)]
 
 
-def test_counted_texts(odd_docs):
-    rows = {(r["doc_id"], r["tokenizer"]): r["tokens"] for r in rollups.counted(odd_docs).filter("doc_id in (3, 4, 5, 9)").collect()}
-    assert rows == {(i, v): 2 if i == 9 else 0 for i in (3, 4, 5, 9) for v in rollups.TOKENIZERS}
+def plain_totals(docs):
+    """Token counts by the libraries of the two tokenizers."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    words, library = Tokenizer.from_file(packing.tokenizer_file()), sentencepiece.SentencePieceProcessor(model_file=pieces.model_file())
+    out = {}
+    for r in docs:
+        text = r["text"] or ""
+        for name, n in (("word_bpe_49k", len(words.encode(text, add_special_tokens=False).ids)), ("piece_bpe_32k", len(library.encode(text)))):
+            key = (r["source"], r["lang"], name)
+            out[key] = [x + y for x, y in zip(out.get(key, (0, 0, 0)), (1, n, len(text)), strict=True)]
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_token_counts_of_a_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {tuple(r) for r in rollups.op2_token_counts(spark, sf).collect()} == plain_totals(docs.collect())
+
+
+def test_token_counts_of_odd_rows(spark, odd_docs, tmp_path):
+    """Null, empty and long texts, repeated rows and null ids; columns of clashing names are not read."""
+    odd = odd_docs.withColumns({"tokenizer": F.lit("x"), "tokens": F.lit("y"), "chars": F.lit("z"), "copy": F.lit(0), "source": F.expr("if(doc_id = 1, null, source)")})
+    odd.unionByName(odd.filter("doc_id = 9")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in rollups.op2_token_counts(spark, str(tmp_path)).collect()}
+    assert got == plain_totals(spark.read.parquet(str(tmp_path / "documents.parquet")).collect())
 
 
 def test_empty_tables(spark, no_docs):
