@@ -30,11 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that with the smallest id."""
+    """Keeps one document of each group of near duplicates: that with the smallest id (null last), then hash of the text.
+
+    Rows equal in id and text are one document; all of them stay or go.
+    """
     found = oddsketch.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").filter("doc_id is not null").distinct()
-    gone = gone.join(found.filter("kept").select("doc_id"), "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = found.filter(~F.col("first")).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"), F.col("copy").alias("_copy")).distinct()
+    doc, copy = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(gone, (doc == F.col("_doc")) & (copy == F.col("_copy")), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
