@@ -51,3 +51,34 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
         if not append:
             writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.json(path)
+
+
+def open_lines(lines: DataFrame, schema: T.StructType, column: str = "value", rest: str = "rest") -> DataFrame:
+    """Lines of JSON objects of any shape: the fields of ``schema`` typed, all others kept in ``rest``, a map of VARIANT.
+
+    Each line is parsed once, to VARIANT. A known field of another type is NULL and stays in ``rest``
+    too, so nothing that was written is lost; an object or array where the schema has a text is its
+    JSON. Blank lines are skipped. A line that is no JSON object keeps its text in ``_corrupt_record``.
+    """
+    whole = lines.where(F.trim(column) != "").withColumn("_all", F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>"))
+    names = [f.name for f in schema.fields]
+    given = {name: F.try_element_at("_all", F.lit(name)) for name in names}
+    known = {f.name: F.try_variant_get(given[f.name], "$", f.dataType.simpleString()) for f in schema.fields}
+    misfit = [F.when(known[x].isNull() & (F.schema_of_variant(given[x]) != "VOID"), F.struct(F.lit(x).alias("key"), given[x].alias("value"))) for x in names]
+    left = F.map_concat(F.map_filter("_all", lambda name, v: ~name.isin(names)), F.map_from_entries(F.array_compact(F.array(*misfit))))
+    others = [c for c in lines.columns if c != column and c not in names]
+    return whole.select(*others, *[v.alias(name) for name, v in known.items()], left.alias(rest), F.when(F.col("_all").isNull(), F.col(column)).alias(CORRUPT))
+
+
+def read_open_jsonl(spark: SparkSession, path: str, schema: T.StructType, run_id: str | None = None) -> DataFrame:
+    """``open_lines`` of files; a missing path is an empty table."""
+    lines = spark.read.text(path) if path_exists(spark, path) else spark.createDataFrame([], "value string")
+    rows = open_lines(lines.select("value"), schema)
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+
+
+def field_counts(rows: DataFrame, rest: str = "rest") -> DataFrame:
+    """(field, type, rows): how often each field that the schema doesn't name, or names with another type, was written."""
+    # explode would infer a filter that repeats all of the parsing
+    entries = rows.select(F.explode_outer(rest).alias("field", "_value")).where(F.col("field").isNotNull())
+    return entries.groupBy("field", F.schema_of_variant("_value").alias("type")).agg(F.count(F.lit(1)).alias("rows"))
