@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerloom.fixed_values import CHECK_LABELS, REVIEW_COUNT, SPLIT_SEED
+from ledgerloom.functions.stems import stems
 from ledgerloom.functions.texts import unwrapped
 from ledgerloom.operators.ordered import exact_quantiles
 
@@ -33,10 +34,14 @@ def _subsequence_lengths(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(list(a), list(b)) for a, b in zip(left, right, strict=True)])
 
 
-def with_rouge_l(pairs: DataFrame, prediction: str, reference: str, name: str = "rouge_l") -> DataFrame:
-    """Add the ROUGE-L F1 of each unwrapped prediction against its reference (word forms as written)."""
+def with_rouge_l(pairs: DataFrame, prediction: str, reference: str, name: str = "rouge_l", stemmed: bool = True) -> DataFrame:
+    """Add the ROUGE-L F1 of each unwrapped prediction against its reference.
+
+    Words of more than three characters are compared by their Porter stems, or, not ``stemmed``, as written.
+    """
+    form = stems if stemmed else (lambda tokens: tokens)
     tokens = pairs.withColumns(
-        {"_p": rouge_tokens(unwrapped(F.col(prediction))), "_r": rouge_tokens(F.col(reference))}
+        {"_p": form(rouge_tokens(unwrapped(F.col(prediction)))), "_r": form(rouge_tokens(F.col(reference)))}
     )
     shared = _subsequence_lengths("_r", "_p")
     f1 = F.coalesce(F.try_divide(2.0 * shared, F.size("_p") + F.size("_r")), F.lit(0.0))
