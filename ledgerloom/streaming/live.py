@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ledgerloom.operators.news import story_key
 from ledgerloom.operators.traces import is_event
 from ledgerloom.sources.jsonl import path_exists
+from ledgerloom.sources.snapshots import put, read_snapshots
 
 CYCLE_SCHEMA = "run_id string, agent string, turn bigint, side string, seq bigint, tool string"
 
@@ -120,12 +121,12 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def upsert_snapshots(runs: DataFrame, path: str, checkpoint: str, order: str) -> StreamingQuery:
-    """Keep the newest run per (ticker, as_of) in a partitioned table; of equal ``order`` the greatest row.
+    """Keep the newest run per (ticker, as_of) in the snapshot table; of equal ``order`` the greatest row.
 
-    A micro-batch is compared with what the table holds for the keys it touches, so an older
+    Runs without a ticker or day are left out. A micro-batch is compared with what the table holds for the keys it touches, so an older
     run that arrives late changes nothing, and a replayed batch id writes the same content
-    again. The batch's newest rows are stored beside the checkpoint before partitions are
-    replaced: the table is not read while it is written.
+    again. What is written is complete in a folder beside the checkpoint before the table is
+    touched: the table is not read while it is written.
     """
     rest = [c for c in runs.columns if c not in ("ticker", "as_of")]
     ordered = [order, *[c for c in rest if c != order]]
@@ -136,17 +137,12 @@ def upsert_snapshots(runs: DataFrame, path: str, checkpoint: str, order: str) ->
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.dropna(subset=["ticker", "as_of"])
         fresh = newest(batch)
         if path_exists(spark, path):
-            stored = spark.read.schema(batch.schema).parquet(path)
+            stored = read_snapshots(spark, path, batch.schema)
             touched = batch.select("ticker", "as_of").distinct()
             fresh = newest(stored.join(touched, ["ticker", "as_of"], "left_semi").select(batch.columns).unionByName(batch))
-        staged = f"{checkpoint}-staged/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(staged)
-        (
-            spark.read.schema(fresh.schema).parquet(staged).repartition("ticker", "as_of")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ticker", "as_of").parquet(path)
-        )
+        put(fresh, path, f"{checkpoint}-staged/batch={batch_id}")
 
     return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

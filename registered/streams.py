@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.plans import bindings as D
 from ledgerloom.session import shared_dir
+from ledgerloom.sources import snapshots
 from ledgerloom.streaming import live as L
 from registered.traces import TRACE
 
@@ -76,7 +77,7 @@ def live_snapshots(spark, d):
     )
     base = shared_dir(spark, "upserts")
     L.upsert_snapshots(runs, f"{base}/table", f"{base}/checkpoint", "o_orderkey").awaitTermination()
-    return spark.read.schema(runs.schema).parquet(f"{base}/table")
+    return snapshots.read_snapshots(spark, f"{base}/table", runs.schema)
 
 
 QUERIES = {
