@@ -81,10 +81,10 @@ def unlabelled(functions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def route_functions(arrivals: DataFrame, stored_names: DataFrame | None = None, per_level: int = PER_LEVEL) -> DataFrame:
-    """Generated functions (topic, kind, level, seq, code) with id, status kept or rejected, and the reason.
+    """Generated functions (topic, kind, level, seq, code) with id, status kept, rejected or ignored, and the reason.
 
-    Only the first ``per_level`` arrivals of a (topic, kind, level) have a slot; later
-    ones are ignored. Of valid functions with one name the first arrival wins, unless
+    Only the first ``per_level`` arrivals of a (topic, kind, level) have a slot; later ones are
+    ignored: they have no id, their code is not parsed, and no cell's rows are ranked beyond its slots. Of valid functions with one name the first arrival wins, unless
     the name is stored already. Winners come from an aggregation, so a name that a
     third of all rows share costs one row per task in the shuffle.
     """
@@ -99,12 +99,17 @@ def route_functions(arrivals: DataFrame, stored_names: DataFrame | None = None,
     won = winners.select(F.col("winner").alias("seq"), F.lit(True).alias("first"))
     duplicate = F.concat(F.lit("duplicate function name '"), F.col("facts.name"), F.lit("'"))
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("first").isNull(), duplicate)
-    return checked.join(won, "seq", "left").select(
+    routed = checked.join(won, "seq", "left").select(
         recipe_id(*[F.col(c) for c in ("topic", "kind", "level", "n")]).alias("id"),
         "topic", "kind", "level", "seq", "code",
         F.when(reason.isNull(), "kept").otherwise("rejected").alias("status"),
         reason.alias("reason"),
     )
+    late = arrivals.join(slotted.select("seq"), "seq", "left_anti").select(
+        F.lit(None).cast("string").alias("id"), "topic", "kind", "level", "seq", "code",
+        F.lit("ignored").alias("status"), F.lit(f"beyond the {per_level} arrivals of its slot").alias("reason"),
+    )
+    return routed.unionByName(late)
 
 
 def reject_histogram(routed: DataFrame) -> DataFrame:
@@ -153,8 +158,8 @@ def docstring_claims(docstring: Column) -> Column:
 def check_docstrings(df: DataFrame, docstring: str = "docstring") -> DataFrame:
     """Rows with ``facts`` and a docstring, plus claims, missing, invented and the label.
 
-    Unparseable first, then hallucinated (anything invented), partial (anything
-    missing), correct.
+    Unparseable first (the docstring, or code that is not one valid function, so that nothing
+    can be compared), then hallucinated (anything invented), partial (anything missing), correct.
     """
     f, c = F.col("facts"), F.col("claims")
     gen = f["is_generator"]
@@ -179,14 +184,15 @@ def check_docstrings(df: DataFrame, docstring: str = "docstring") -> DataFrame:
         named("raises ", F.array_sort(F.array_except(c["raises"], f["raises"]))),
     )
     parsed = df.withColumn("claims", docstring_claims(F.col(docstring)))
+    known = c.isNotNull() & f["error"].isNull()
     lists = parsed.withColumns(
         {
-            "missing": F.when(c.isNotNull(), missing).otherwise(none),
-            "invented": F.when(c.isNotNull(), invented).otherwise(none),
+            "missing": F.when(known, missing).otherwise(none),
+            "invented": F.when(known, invented).otherwise(none),
         }
     )
     label = (
-        F.when(c.isNull(), CHECK_LABELS[3])
+        F.when(~known, CHECK_LABELS[3])
         .when(F.size("invented") > 0, CHECK_LABELS[2])
         .when(F.size("missing") > 0, CHECK_LABELS[1])
         .otherwise(CHECK_LABELS[0])
@@ -307,12 +313,12 @@ def token_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def funnel(routed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Written, valid, labelled, kept."""
-    a = routed.agg(F.count(F.lit(1)).alias("written"), F.count_if(F.col("status") == "kept").alias("valid"))
+    """Arrived, ignored, written, valid, labelled, kept: what arrived is what was ignored and what was written."""
+    ignored = F.col("status") == "ignored"
+    a = routed.agg(F.count(F.lit(1)).alias("arrived"), F.count_if(ignored).alias("ignored"), F.count_if(~ignored).alias("written"), F.count_if(F.col("status") == "kept").alias("valid"))
     b = labels.agg(F.count(F.lit(1)).alias("labelled"), F.count_if(F.col("label") == "correct").alias("kept"))
-    step = "stack(2, {}) as (step_no, step, examples)"
-    first = a.selectExpr(step.format("1, 'written', written, 2, 'valid', valid"))
-    return first.unionByName(b.selectExpr(step.format("3, 'labelled', labelled, 4, 'kept', kept")))
+    first = a.selectExpr("stack(4, 1, 'arrived', arrived, 2, 'ignored', ignored, 3, 'written', written, 4, 'valid', valid) as (step_no, step, examples)")
+    return first.unionByName(b.selectExpr("stack(2, 5, 'labelled', labelled, 6, 'kept', kept) as (step_no, step, examples)"))
 
 
 def filled_template(template: str, variables: dict[str, Column]) -> Column:

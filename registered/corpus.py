@@ -21,7 +21,7 @@ def _routed(spark, d):
 
 
 def _checked(spark, d):
-    docs = D.part_docstrings(spark, d).where("brand <> 'Brand#9'")
+    docs = D.part_docstrings(spark, d)
     return C.check_docstrings(C.with_code_facts(docs.select("seq", "kind", "topic", "level", "code", "docstring")))
 
 
@@ -92,7 +92,7 @@ def checked_docstrings(spark, d):
 
 
 def rendered_docstrings(spark, d):
-    return D.part_docstrings(spark, d).where("brand not in ('Brand#11', 'Brand#12', 'Brand#13')").select("seq", "docstring")
+    return D.part_docstrings(spark, d).select("seq", unwrapped(F.col("docstring")).alias("docstring"))
 
 
 def function_name_words(spark, d):
@@ -223,7 +223,7 @@ def _score_pairs(spark, d):
 
 
 def rouge_l(spark, d):
-    out = S.with_rouge_l(_score_pairs(spark, d), "prediction", "reference")
+    out = S.with_rouge_l(_score_pairs(spark, d), "prediction", "reference", stemmed=False)
     return out.select("conv_id", "turn", F.round("rouge_l", 6).alias("rouge_l"))
 
 
@@ -342,7 +342,7 @@ def most_similar_items(spark, d):
 
 
 def near_copies_found(spark, d):
-    return M.has_near_copies(M.most_similar_pairs(spread(D.table(spark, d, "pages")), 5, "page_id", "html", store=shared_dir(spark, "sets")))
+    return M.has_near_copies(stored(M.shingle_sets(spread(D.table(spark, d, "pages")), "page_id", "html"), shared_dir(spark, "sets")))
 
 
 PARTS = """p0 AS (SELECT p_partkey AS seq, lower(p_type) AS topic, CASE WHEN p_size < 17 THEN 'simple' WHEN p_size < 34 THEN 'medium' ELSE 'tricky' END AS level,
@@ -361,15 +361,16 @@ def _route(topic: str, stored: str = "") -> str:
 s AS (SELECT *, {topic} AS tp, row_number() OVER (PARTITION BY {topic}, kind, level ORDER BY seq) AS n FROM r),
 w AS (SELECT fn, min(seq) AS seq, true AS won FROM s WHERE n <= 2 AND reason IS NULL {taken} GROUP BY fn),
 routed AS (SELECT tp || '-' || kind || '-' || level || '-' || printf('%02d', n) AS id, s.seq, CASE WHEN s.reason IS NOT NULL THEN s.reason WHEN won IS NULL THEN 'duplicate function name ''' || s.fn || '''' END AS reason
-  FROM s LEFT JOIN w ON w.seq = s.seq WHERE n <= 2)"""
+  FROM s LEFT JOIN w ON w.seq = s.seq WHERE n <= 2),
+late AS (SELECT seq, 'beyond the 2 arrivals of its slot' AS reason FROM s WHERE n > 2)"""
 
 
 CHECK = f"""{PARTS}, dc AS (SELECT *, CASE WHEN brand = 'Brand#5' THEN 'q' WHEN brand = 'Brand#6' THEN params || ',ghost' ELSE params END AS dargs,
     CASE WHEN brand = 'Brand#13' THEN NULL WHEN (raising AND brand <> 'Brand#4') OR brand = 'Brand#10' THEN exc ELSE '' END AS draises, shape = 2 AND brand <> 'Brand#8' AS dyields FROM f),
-ck AS (SELECT *, CASE WHEN brand = 'Brand#13' THEN '' ELSE concat_ws(';', CASE WHEN brand = 'Brand#5' AND length(params) > 1 THEN 'arg ' || replace(substr(params, 3), ',', ';arg ') END,
+ck AS (SELECT *, CASE WHEN bad OR brand = 'Brand#13' THEN '' ELSE concat_ws(';', CASE WHEN brand = 'Brand#5' AND length(params) > 1 THEN 'arg ' || replace(substr(params, 3), ',', ';arg ') END,
       CASE WHEN shape = 2 AND NOT dyields THEN 'Yields' END, CASE WHEN raising AND draises = '' THEN 'raises ' || exc END) END AS missing,
-    CASE WHEN brand = 'Brand#13' THEN '' ELSE concat_ws(';', CASE WHEN brand = 'Brand#6' THEN 'arg ghost' END, CASE WHEN NOT raising AND draises <> '' THEN 'raises ' || exc END) END AS invented FROM dc WHERE NOT bad),
-lb AS (SELECT *, CASE WHEN brand = 'Brand#13' THEN 'unparseable' WHEN invented <> '' THEN 'hallucinated' WHEN missing <> '' THEN 'partial' ELSE 'correct' END AS label FROM ck)"""
+    CASE WHEN bad OR brand = 'Brand#13' THEN '' ELSE concat_ws(';', CASE WHEN brand = 'Brand#6' THEN 'arg ghost' END, CASE WHEN NOT raising AND draises <> '' THEN 'raises ' || exc END) END AS invented FROM dc),
+lb AS (SELECT *, CASE WHEN bad OR brand = 'Brand#13' THEN 'unparseable' WHEN invented <> '' THEN 'hallucinated' WHEN missing <> '' THEN 'partial' ELSE 'correct' END AS label FROM ck)"""
 DOC = """dd AS (SELECT *, CASE WHEN size % 2 = 0 THEN 'ValueError' ELSE 'errors.BadPart' END AS exc9, (['q,r', 'q', 'q,*rest', 'q,key,**extra'])[shape + 1] AS star FROM f),
 doc AS (SELECT *, concat_ws(chr(10) || chr(10), 'Handle ' || fn || '.', CASE WHEN size % 4 = 0 THEN 'More about it.' END,
     'Args:' || chr(10) || array_to_string(list_transform(string_split(CASE WHEN brand = 'Brand#5' THEN 'q' WHEN brand = 'Brand#6' THEN star || ',ghost' ELSE star END, ','), lambda a: '    ' || a || ': a value'), chr(10)),
@@ -462,18 +463,18 @@ ORACLE = {
       CASE WHEN NOT bad THEN returns_value END AS returns_value, CASE WHEN NOT bad THEN CASE WHEN raising THEN exc ELSE '' END END AS raises, CASE WHEN NOT bad THEN brand = 'Brand#7' END AS has_docstring, CASE WHEN NOT bad THEN code_lines END AS code_lines,
       CASE WHEN NOT bad THEN CASE WHEN size % 43 = 0 THEN '' WHEN size % 3 = 0 THEN 'math' WHEN size % 3 = 1 THEN 'json' ELSE '' END END AS modules, CASE WHEN bad THEN 'code must be exactly one top-level function' END AS error FROM f""",
     "reject_reasons": f"WITH {PARTS}, {REASON} SELECT seq, reason FROM r",
-    "routed_functions": f"WITH {_route('topic || chr(95) || size')} SELECT id, seq, CASE WHEN reason IS NULL THEN 'kept' ELSE 'rejected' END AS status, reason FROM routed",
-    "routed_with_stored_names": f"""WITH {_route("topic || chr(95) || size", "SELECT replace(p_name, ' ', '_') || '_' || p_size FROM part WHERE p_brand = 'Brand#1'")} SELECT id, CASE WHEN reason IS NULL THEN 'kept' ELSE 'rejected' END AS status, reason FROM routed""",
+    "routed_functions": f"WITH {_route('topic || chr(95) || size')} SELECT id, seq, CASE WHEN reason IS NULL THEN 'kept' ELSE 'rejected' END AS status, reason FROM routed UNION ALL SELECT NULL, seq, 'ignored', reason FROM late",
+    "routed_with_stored_names": f"""WITH {_route("topic || chr(95) || size", "SELECT replace(p_name, ' ', '_') || '_' || p_size FROM part WHERE p_brand = 'Brand#1'")} SELECT id, CASE WHEN reason IS NULL THEN 'kept' ELSE 'rejected' END AS status, reason FROM routed UNION ALL SELECT NULL, 'ignored', reason FROM late""",
     "reject_histogram": f"""WITH {_route('topic || chr(95) || size')} SELECT trim(regexp_replace(reason, ' ''.*''|: .*|\\d+', '', 'g')) AS reason, count(*) AS functions FROM routed WHERE reason IS NOT NULL GROUP BY 1""",
     "recipe_grid": """SELECT topic, kind, level, n, topic || '-' || kind || '-' || level || '-' || printf('%02d', n) AS id FROM (SELECT DISTINCT lower(p_name) AS topic FROM part)
       CROSS JOIN (VALUES ('function'), ('method'), ('generator'), ('async')) k(kind) CROSS JOIN (VALUES ('simple'), ('medium'), ('tricky')) l(level) CROSS JOIN (VALUES (1), (2)) n(n)""",
     "open_cells": f"""WITH {PARTS} SELECT topic, kind FROM (SELECT DISTINCT lower(p_name) AS topic FROM part) CROSS JOIN (VALUES ('function'), ('method'), ('generator'), ('async')) k(kind)
       EXCEPT SELECT p_name, kind FROM p JOIN part ON p_partkey = seq WHERE size < 20""",
     "unwrapped_answers": f"WITH {PARTS}, {DOC} SELECT seq, clean AS text FROM txt",
-    "docstring_claims": f"""WITH {CHECK.replace(' WHERE NOT bad', '')} SELECT seq, CASE WHEN brand <> 'Brand#13' THEN 'Handle ' || fn || '.' END AS summary, CASE WHEN brand <> 'Brand#13' THEN dargs END AS args,
+    "docstring_claims": f"""WITH {CHECK} SELECT seq, CASE WHEN brand <> 'Brand#13' THEN 'Handle ' || fn || '.' END AS summary, CASE WHEN brand <> 'Brand#13' THEN dargs END AS args,
       CASE WHEN brand <> 'Brand#13' THEN returns_value END AS has_returns, CASE WHEN brand <> 'Brand#13' THEN dyields END AS has_yields, draises AS raises FROM ck""",
     "checked_docstrings": f"WITH {CHECK} SELECT seq, label, missing, invented FROM lb",
-    "rendered_docstrings": f"WITH {PARTS}, {DOC} SELECT seq, body AS docstring FROM doc WHERE brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13')",
+    "rendered_docstrings": f"WITH {PARTS}, {DOC} SELECT seq, clean AS docstring FROM txt",
     "function_name_words": f"WITH {PARTS}, {_WORDS} SELECT word, count(*) AS uses FROM wd WHERE word NOT IN ({_STOP}) GROUP BY word",
     "top_name_words": f"WITH {PARTS}, {_WORDS} SELECT word, uses FROM (SELECT word, count(*) AS uses, min(seq * 100 + place) AS first FROM wd WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY uses DESC, first LIMIT 20)",
     "modules_used": f"WITH {PARTS} SELECT CASE WHEN size % 3 = 0 THEN 'math' ELSE 'json' END AS module, count(*) AS functions FROM f WHERE NOT bad AND size % 43 <> 0 AND size % 3 < 2 GROUP BY 1",
@@ -491,8 +492,8 @@ ORACLE = {
       SELECT level, CAST(least(floor((code_tokens - lo) * 20 / (hi - lo)::DOUBLE), 19) AS BIGINT) AS bin, count(*) AS rows FROM b GROUP BY 1, 2""",
     "topic_kind_crosstab": f"WITH {PARTS} SELECT coalesce(topic, 'All') AS topic, coalesce(kind, 'All') AS kind, count(*) AS rows FROM p GROUP BY CUBE (topic, kind)",
     "level_counts": f"WITH {PARTS} SELECT level, count(*) AS examples FROM p GROUP BY level",
-    "corpus_funnel": f"""WITH {_route('topic')}, {CHECK[CHECK.index('dc AS'):]} SELECT 1 AS step_no, 'written' AS step, count(*) AS examples FROM routed UNION ALL SELECT 2, 'valid', count(*) FROM routed WHERE reason IS NULL
-      UNION ALL SELECT 3, 'labelled', count(*) FROM lb UNION ALL SELECT 4, 'kept', count(*) FROM lb WHERE label = 'correct'""",
+    "corpus_funnel": f"""WITH {_route('topic')}, {CHECK[CHECK.index('dc AS'):]} SELECT 1 AS step_no, 'arrived' AS step, count(*) AS examples FROM f UNION ALL SELECT 2, 'ignored', count(*) FROM late UNION ALL SELECT 3, 'written', count(*) FROM routed UNION ALL SELECT 4, 'valid', count(*) FROM routed WHERE reason IS NULL
+      UNION ALL SELECT 5, 'labelled', count(*) FROM lb UNION ALL SELECT 6, 'kept', count(*) FROM lb WHERE label = 'correct'""",
     "label_counts": f"""WITH {CHECK} SELECT kind, count(*) FILTER (label = 'correct') AS correct, count(*) FILTER (label = 'partial') AS partial, count(*) FILTER (label = 'hallucinated') AS hallucinated, count(*) FILTER (label = 'unparseable') AS unparseable,
       round(avg((label = 'hallucinated')::INT), 6) AS share_hallucinated FROM lb GROUP BY kind""",
     "common_errors": f"""WITH {CHECK}, e AS (SELECT unnest(string_split(missing, ';')) AS x, ' missing' AS k FROM lb WHERE missing <> '' UNION ALL SELECT unnest(string_split(invented, ';')), ' invented' FROM lb WHERE invented <> '')
@@ -518,7 +519,12 @@ ORACLE = {
       UNION ALL SELECT DISTINCT path, NULL, 'not in the index' FROM h WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "similar_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM sim",
     "most_similar_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 5)",
-    "most_similar_200_pairs": f"WITH {DOC_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM every ORDER BY s DESC, a, b LIMIT 200)",
+    "most_similar_200_pairs": f"""WITH {GRAMS[:GRAMS.index('bits AS')].format(key='doc_id', text='text', src='documents').rstrip().rstrip(',')}, r AS MATERIALIZED (SELECT id, unnest(grams) AS h FROM reps),
+      x AS (SELECT a.id AS p, b.id AS q, count(*) AS x FROM r a JOIN r b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2),
+      y AS (SELECT a.ids AS ia, b.ids AS ib, x / (a.n + b.n - x)::DOUBLE AS s FROM x JOIN reps a ON a.id = p JOIN reps b ON b.id = q),
+      e AS (SELECT ids[i] AS a, ids[j] AS b, 1.0::DOUBLE AS s FROM (SELECT ids, unnest(range(1, len(ids) + 1)) AS i FROM reps), LATERAL (SELECT unnest(range(i + 1, len(ids) + 1)) AS j)
+        UNION ALL SELECT least(v, z), greatest(v, z), s FROM (SELECT unnest(ia) AS v, ib, s FROM y), LATERAL (SELECT unnest(ib) AS z))
+      SELECT a, b, round(s, 6) AS similarity FROM (SELECT * FROM e ORDER BY s DESC, a, b LIMIT 200)""",
     "most_similar_items": f"""WITH {GRAMS[:GRAMS.index('reps AS')].format(key='item_id', text='text', src='benchmark').rstrip().rstrip(',')}, x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.grams, b.grams)) AS x, len(a.grams) + len(b.grams) AS n FROM g a JOIN g b ON a.id < b.id)
       SELECT a, b, round(x / (n - x)::DOUBLE, 6) AS similarity FROM x ORDER BY x / (n - x)::DOUBLE DESC, a, b LIMIT 20""",
     "near_copies_found": f"WITH {GRAMS.format(key='page_id', text='html', src='pages')} SELECT count(*) > 0 AS near_copies FROM every WHERE s >= 0.8",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import bars as B
@@ -71,6 +73,14 @@ def period_trim(spark, d):
     return B.with_period_start(requests, D.last_date(bars))
 
 
+def trimmed_bars(spark, d):
+    """All bars, cut to each of the periods; an unknown one counts as the default."""
+    bars = _clean_orders(spark, d)
+    today = D.last_date(bars)
+    cut = [B.trim_to_period(bars, today, p).select(F.lit(p).alias("period"), "ticker", "date", "close") for p in ("1mo", "3mo", "6mo", "1y", "2y", "7w")]
+    return functools.reduce(lambda a, b: a.unionByName(b), cut)
+
+
 def moving_averages(spark, d):
     w = I.with_window_indicators(_bars(spark, d))
     return _round(w.select("ticker", "date", "sma_50", "sma_200"), 5, "sma_50", "sma_200")
@@ -438,6 +448,7 @@ QUERIES = {
     "short_history_warnings": short_history_warnings,
     "normalised_tickers": normalised_tickers,
     "period_trim": period_trim,
+    "trimmed_bars": trimmed_bars,
     "moving_averages": moving_averages,
     "bollinger_bands": bollinger_bands,
     "volatility": volatility,
@@ -489,6 +500,8 @@ ORACLE = {
       SELECT ticker, CASE WHEN p = '7w' THEN '6mo' ELSE p END AS period,
         CASE WHEN p = '7w' THEN 'period ''7w'' is not one of [''1mo'', ''3mo'', ''6mo'', ''1y'', ''2y''], so 6mo was used' END AS period_warning,
         CAST({TODAY} - (CASE p WHEN '1mo' THEN 1 WHEN '3mo' THEN 3 WHEN '1y' THEN 12 WHEN '2y' THEN 24 ELSE 6 END) * INTERVAL 1 MONTH AS DATE) AS period_start FROM req""",
+    "trimmed_bars": f"""WITH {OBARS} SELECT period, ticker, date, close FROM bars, (VALUES ('1mo', 1), ('3mo', 3), ('6mo', 6), ('1y', 12), ('2y', 24), ('7w', 6)) p(period, months)
+      WHERE date >= CAST({TODAY} - months * INTERVAL 1 MONTH AS DATE)""",
     "moving_averages": f"{L_IND} SELECT ticker, date, round(sma_50, 5) AS sma_50, round(sma_200, 5) AS sma_200 FROM ind",
     "bollinger_bands": f"{L_IND} SELECT ticker, date, round(bb_middle, 5) AS bb_middle, round(bb_upper, 4) AS bb_upper, round(bb_lower, 4) AS bb_lower, round(bb_pct_b, 4) AS bb_pct_b FROM ind",
     "volatility": f"{L_IND} SELECT ticker, date, round(hv_30, 5) AS volatility FROM ind WHERE hv_30 IS NOT NULL",

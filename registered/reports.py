@@ -139,13 +139,20 @@ def sentiment_fact_lines(spark, d):
     return facts.sentiment_facts(S.summarise(_scored(spark, d), ["ticker"]))
 
 
+def _advice(spark, d):
+    """The turns of all conversations as one recommendation a ticker; that for N is too short to be valid."""
+    ticker = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("conv_id") % 3 + 1).cast("int"))
+    text = F.when(F.col("ticker") == "N", "Too short.").otherwise("One. Two. Three.")
+    found = _recommendations(spark, d).groupBy(ticker.alias("ticker")).agg(F.max("recommendation").alias("_most"), F.min("recommendation").alias("_least"))
+    return found.select("ticker", F.coalesce(F.nullif("_most", F.lit("Maybe")), "_least").alias("recommendation"), text.alias("justification"), F.array(F.lit("a"), F.lit("b")).alias("key_factors"))
+
+
 def market_briefs(spark, d):
     """The whole market brief of every ticker, from ticks and documents to Markdown."""
     priced = MK._priced(spark, d)
     return market_brief(
         priced, summary.fundamentals(D.flag_fundamentals(spark, d)), _headlines(spark, d), D.primary_decisions(spark, d),
-        D.secondary_labels(spark, d), ["ord"], _recommendations(spark, d).where("turn = 1").groupBy(F.lit("A").alias("ticker")).agg(
-            F.max("recommendation").alias("recommendation"), F.lit("One. Two. Three.").alias("justification"), F.max("key_factors").alias("key_factors")),
+        D.secondary_labels(spark, d), ["ord"], _advice(spark, d),
         D.last_date(priced), F.lit("2024-02-01 00:00:00").cast("timestamp"),
     )
 
@@ -177,7 +184,8 @@ def fulfilled_requests(spark, d):
 def data_briefs(spark, d):
     priced = MK._priced(spark, d)
     found = _figures(spark, d, priced)
-    keyed = TR._observations(spark, d).withColumn("run_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("seq") % 3 + 1).cast("int"))).where("duration_ms > 300")
+    keyed = TR._observations(spark, d).withColumn("run_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("seq") % 3 + 1).cast("int")))
+    keyed = TR._quick_is_empty(keyed, 300)
     gaps = E.data_gaps(keyed, keyed, ["get_price_data", "calculate_volatility", "llm_sentiment"]).withColumnRenamed("run_id", "ticker")
     tools = E.ok_tools(keyed).withColumnRenamed("run_id", "ticker")
     given = _headlines(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines_given"))
@@ -349,8 +357,8 @@ ORACLE = {
     "saved_reports": """WITH s AS (SELECT source AS ticker, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source)
       SELECT ticker, unnest(['# ' || ticker, '', '- documents: ' || n, '- first: ' || first]) AS line FROM s""",
     "jsonl_round_trip": "SELECT source AS split, lang, count(*) AS rows FROM documents GROUP BY source, lang",
-    "data_briefs": f"""{FIG}, {TR.TRACE}, kd AS (SELECT (['A', 'N', 'R'])[seq % 3 + 1] AS tk, * FROM tr WHERE event = 'tool_call' AND duration_ms > 300),
-      c AS (SELECT tk, tool, count(*) FILTER (status = 'ok') AS ok, min(seq) FILTER (status = 'ok') AS first, arg_max(status, seq) AS st, arg_max(CASE WHEN status = 'error' THEN output WHEN status = 'empty' THEN 'slow; ' || tool ELSE 'no detail' END, seq) AS pr FROM kd GROUP BY tk, tool),
+    "data_briefs": f"""{FIG}, {TR.TRACE}, kd AS (SELECT (['A', 'N', 'R'])[seq % 3 + 1] AS tk, * REPLACE (CASE WHEN duration_ms > 300 THEN status ELSE 'empty' END AS status), status AS was FROM tr WHERE event = 'tool_call'),
+      c AS (SELECT tk, tool, count(*) FILTER (status = 'ok') AS ok, min(seq) FILTER (status = 'ok') AS first, arg_max(status, seq) AS st, arg_max(CASE WHEN was = 'error' THEN output WHEN was = 'empty' THEN 'slow; ' || tool ELSE 'no detail' END, seq) AS pr FROM kd GROUP BY tk, tool),
       gp AS (SELECT a.tk, string_agg(CASE WHEN c.ok IS NULL THEN t.tool || ' was not called' ELSE t.tool || ' returned no usable result (' || st || ': ' || pr || ')' END, '; ' ORDER BY t.n) AS gaps
         FROM (SELECT DISTINCT tk FROM kd) a CROSS JOIN (VALUES (0, 'get_price_data'), (1, 'calculate_volatility'), (2, 'llm_sentiment')) t(n, tool) LEFT JOIN c ON c.tk = a.tk AND c.tool = t.tool WHERE coalesce(c.ok, 0) = 0 GROUP BY a.tk),
       tl AS (SELECT tk, string_agg(tool, ',' ORDER BY first) AS tools FROM c WHERE ok > 0 GROUP BY tk), hn AS (SELECT ticker, count(*) AS n FROM hd GROUP BY ticker)
