@@ -26,6 +26,16 @@ def trace_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
+def polled_feeds(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """(ticker, feed_rank, polled, xml): RSS documents as pollers append them, one JSON line a poll, a file at a time.
+
+    Which files were read is in the checkpoint of the query that reads the stream, so a restarted one reads no
+    poll twice and misses none. ``feeds.parse_feed`` and ``feeds.broken_feeds`` take the rows as they are.
+    """
+    schema = "ticker string, feed_rank int, polled timestamp, xml string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
 def live_tool_stats(trace: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Tool statistics per tumbling window, or sliding with ``slide``."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)

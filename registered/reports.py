@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.texts import markdown_escaped, sentence_count
 from ledgerloom.operators import evidence as E
 from ledgerloom.operators import facts, hedge, indicators as I, news as N, reports as R, sentiment as S, summary
+from ledgerloom.operators.run_results import checked_reports
 from ledgerloom.plans import bindings as D
 from ledgerloom.plans.market import market_brief
 from ledgerloom.session import shared_dir
@@ -119,9 +120,11 @@ def chosen_reports(spark, d):
 
 
 def report_documents(spark, d):
+    """Reports of all tickers, checked against what their tools returned."""
     priced = MK._priced(spark, d)
     chosen = R.choose_reports(_templates(spark, d, priced), _answers(spark, d))
-    return R.report_markdown(chosen, D.last_date(priced))
+    calls = _ticker_calls(spark, d).withColumnRenamed("run_id", "ticker")
+    return R.report_markdown(checked_reports(chosen, calls, chosen.select("ticker", "levels"), "ticker"), D.last_date(priced))
 
 
 def escaped_markdown(spark, d):
@@ -181,11 +184,16 @@ def fulfilled_requests(spark, d):
     return out.select("run_id", "tool", "fulfilled_by", F.col("data").isNotNull().alias("has_data"), F.size("warnings").alias("warnings"))
 
 
+def _ticker_calls(spark, d):
+    """All tool calls, dealt to the tickers; those of up to 300 ms count as empty."""
+    keyed = TR._observations(spark, d).withColumn("run_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("seq") % 3 + 1).cast("int")))
+    return TR._quick_is_empty(keyed, 300)
+
+
 def data_briefs(spark, d):
     priced = MK._priced(spark, d)
     found = _figures(spark, d, priced)
-    keyed = TR._observations(spark, d).withColumn("run_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("seq") % 3 + 1).cast("int")))
-    keyed = TR._quick_is_empty(keyed, 300)
+    keyed = _ticker_calls(spark, d)
     gaps = E.data_gaps(keyed, keyed, ["get_price_data", "calculate_volatility", "llm_sentiment"]).withColumnRenamed("run_id", "ticker")
     tools = E.ok_tools(keyed).withColumnRenamed("run_id", "ticker")
     given = _headlines(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines_given"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.plans import bindings as D
 from ledgerloom.session import shared_dir
-from ledgerloom.sources import snapshots
+from ledgerloom.sources import feeds, snapshots
 from ledgerloom.streaming import live as L
+from registered.news import FEED, _feed_documents
 from registered.traces import TRACE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,6 +58,20 @@ def live_unique_stories(spark, d):
     return _run(spark, L.live_unique_stories(headlines), "stories").select("ticker", "title_key")
 
 
+def live_feed_headlines(spark, d):
+    """Headlines and broken documents of polled feeds; the streams are stopped and started again between two rounds of polls."""
+    base = shared_dir(spark, "polls")
+    documents = _feed_documents(spark, d).withColumn("polled", F.lit("2024-01-05 00:00:00").cast("timestamp"))
+    for late in (False, True):
+        documents.where((F.col("ticker").cast("long") % 3 == 0) == late).write.mode("append").json(f"{base}/in")
+        polls = L.polled_feeds(spark, f"{base}/in", 2)
+        headlines, broken = feeds.parse_feed(polls), feeds.broken_feeds(polls).select("ticker", "feed_rank")
+        L.append_to_table(headlines, f"{base}/headlines", f"{base}/checkpoint-headlines").awaitTermination()
+        L.append_to_table(broken, f"{base}/broken", f"{base}/checkpoint-broken").awaitTermination()
+    read = lambda stream, name: spark.read.schema(stream.schema).parquet(f"{base}/{name}")
+    return read(headlines, "headlines").select("ticker", "feed_rank", "title", "published").unionByName(read(broken, "broken"), allowMissingColumns=True)
+
+
 def live_replan_cycles(spark, d):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -88,6 +103,7 @@ QUERIES = {
     "live_unique_stories": live_unique_stories,
     "live_replan_cycles": live_replan_cycles,
     "live_snapshots": live_snapshots,
+    "live_feed_headlines": live_feed_headlines,
 }
 
 W = f"WITH {TRACE}"
@@ -100,6 +116,8 @@ se AS (SELECT run_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", coun
     count(*) FILTER (event = 'tool_call' AND status <> 'ok') AS problems, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens FROM n GROUP BY run_id, no)"""
 
 ORACLE = {
+    "live_feed_headlines": f"""WITH {FEED} SELECT ticker, feed_rank, title, published FROM it WHERE title <> '' AND published IS NOT NULL
+      UNION ALL SELECT CAST(page_id AS VARCHAR), 1, NULL, NULL FROM pages WHERE page_id % 11 = 10""",
     "live_tool_stats": f"""{W}, s AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS b FROM tr WHERE event = 'tool_call')
       SELECT b AS start, b + INTERVAL 1 HOUR AS "end", tool, {_STATS} FROM s GROUP BY ALL HAVING "end" <= {_CLOSED}""",
     "live_tool_stats_sliding": f"""{W}, s AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - o * INTERVAL 1 HOUR AS b FROM tr CROSS JOIN (VALUES (0), (1)) v(o) WHERE event = 'tool_call')

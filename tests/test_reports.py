@@ -33,6 +33,8 @@ def test_documents(spark):
     assert text["Z"].startswith("# Z research report (")
     assert "> Not written by the LLM: no price data came back" in text["Z"]
     assert "- sell shares\n" in text["Z"] and "**Trim And Stop**" in text["Z"]
+    assert "_(source: " not in text["Z"] and "- get_price_data was not called" in text["Z"]  # no tool returned anything for it
+    assert all("source: " not in line or "no usable result" not in line for x in text.values() for line in x.split("\n"))
     assert "- buy put at " in text["A"] and "(bb_lower)" in text["A"] and "Expected 63-trading-day move: ±" in text["A"]
     briefs = {r.ticker: r.markdown for r in Q.market_briefs(spark, SF).collect()}
     assert briefs["N"].startswith("# Flag N (N): equity research brief\n\nGenerated 2024-02-01 00:00 UTC · market data as of 200")
