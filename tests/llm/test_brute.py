@@ -471,3 +471,65 @@ def test_matrix_product_is_associative():
     b = {(0, "y"): {(0, "q"): 5.0}, (1, "z"): {(0, "q"): 3.0, (2, "r"): 1.0}}
     c = {(0, "q"): {(0, "e"): 0.5}, (2, "r"): {(0, "e"): 9.0}}
     assert pieces.times(pieces.times(a, b), c) == pieces.times(a, pieces.times(b, c)) == {(0, "x"): {(0, "e"): 12.0}}
+
+
+# the pipeline
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    """Each stage's rows on a whole table, by the plain versions above, on what its predecessor kept."""
+    import math
+
+    import zstandard
+    from tokenizers import Tokenizer
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = compression.fit(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad))
+
+    def score(text):
+        raw = (text or "").encode()
+        saved = sum(len(bad.compress(raw[k : k + 2000])) - len(good.compress(raw[k : k + 2000])) for k in range(0, len(raw), 2000)) / max(len(raw), 1)
+        weight = len(raw) / (len(raw) + 100)
+        return 1 / (1 + math.exp(-weight * (model.slope * saved + model.bias) - (1 - weight) * model.prior))
+
+    def texts(table):
+        return {r["doc_id"]: r["text"] for r in table.collect()}
+
+    want = {i: t for i, t in texts(docs).items() if score(t) >= compression.THRESHOLD}
+    docs = corpus_pipeline.quality(spark, docs, sf).cache()
+    assert texts(docs) == want and len(want) < 200
+
+    gone = plain_removed(list(want.items()), least=1)
+    cut = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in want.items()}
+    want = {i: t for i, t in cut.items() if (i, want[i]) not in gone or WORD.search(t)}
+    docs = corpus_pipeline.line_dedup(spark, docs, sf).cache()
+    assert texts(docs) == want and gone
+
+    want = {i: want[i] for i, _, component in plain_components(list(want.items())) if i == component}
+    docs = corpus_pipeline.near_dedup(spark, docs, sf).cache()
+    assert texts(docs) == want
+
+    docs = corpus_pipeline.secret_scan(spark, docs, sf).cache()
+    masked = texts(docs)
+    assert set(masked) == set(want)
+    for i, t in want.items():
+        spans = plain_spans(t)
+        assert masked[i] == t or secrets.MASK in masked[i]
+        assert not any(t[a:b] in masked[i] for a, _, b in spans)
+
+    whole = Tokenizer.from_file(packing.tokenizer_file())
+    pieces_wanted = Counter()
+    for i, t in masked.items():
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            pieces_wanted[i, k // 2048, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    packed = corpus_pipeline.best_fit_packing(spark, docs, sf).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed) == pieces_wanted
+    placed = {}
+    for r in packed:
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in placed.values():
+        assert sum(n for _, n in parts) <= 2048 and [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
