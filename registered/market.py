@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import bars as B
 from ledgerloom.operators import facts, hedge, indicators as I, signals, smoothing as S, summary
+from ledgerloom.operators.scan import seeded_scan
 from ledgerloom.plans import bindings as D
 from ledgerloom.session import shared_dir, stored
 
@@ -95,6 +96,13 @@ def volatility(spark, d):
     return _round(I.volatility_series(_bars(spark, d)), 5, "volatility")
 
 
+def tick_ema(spark, d):
+    """The 12-tick EMA of every ticker's ticks in order of their number (of equal numbers the dearest); a ticker has about a third of all rows."""
+    ticks = D.ticks(spark, d).groupBy("ticker", "seq").agg(F.max("price").alias("price"))
+    out = seeded_scan(ticks, ["ticker"], "seq", "price", 12, 2.0 / 13, "ema")
+    return out.select("ticker", F.col("seq").cast("string").alias("seq"), F.round("ema", 4).alias("ema"))
+
+
 def seeded_smoothing(spark, d):
     w = S.with_smoothing(_bars(spark, d), 14, 1.0 / 14).select("ticker", "date", "smoothed")
     return _round(w, 2, "smoothed")
@@ -453,6 +461,7 @@ QUERIES = {
     "bollinger_bands": bollinger_bands,
     "volatility": volatility,
     "seeded_smoothing": seeded_smoothing,
+    "tick_ema": tick_ema,
     "ema": ema,
     "rsi": rsi,
     "macd": macd,
@@ -505,6 +514,12 @@ ORACLE = {
     "moving_averages": f"{L_IND} SELECT ticker, date, round(sma_50, 5) AS sma_50, round(sma_200, 5) AS sma_200 FROM ind",
     "bollinger_bands": f"{L_IND} SELECT ticker, date, round(bb_middle, 5) AS bb_middle, round(bb_upper, 4) AS bb_upper, round(bb_lower, 4) AS bb_lower, round(bb_pct_b, 4) AS bb_pct_b FROM ind",
     "volatility": f"{L_IND} SELECT ticker, date, round(hv_30, 5) AS volatility FROM ind WHERE hv_30 IS NOT NULL",
+    "tick_ema": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS place FROM (SELECT l_returnflag AS ticker, max(l_extendedprice) AS price,
+        l_orderkey::HUGEINT * 100000000000000 + l_linenumber::HUGEINT * 1000000000000 + l_partkey AS seq FROM lineitem GROUP BY ticker, seq)),
+      s AS (SELECT ticker, avg(price) AS seed FROM l WHERE place <= 12 GROUP BY ticker), -- what is more than 240 ticks old weighs less than 10 ** -17
+      w AS (SELECT *, list(CASE WHEN place > 12 THEN price ELSE 0 END) OVER (PARTITION BY ticker ORDER BY place ROWS 239 PRECEDING) AS xs FROM l)
+      SELECT ticker, CAST(seq AS VARCHAR) AS seq, round(CASE WHEN place >= 12 THEN pow(11 / 13.0::DOUBLE, place - 12) * seed + 2 / 13.0::DOUBLE * list_sum(list_transform(xs, lambda x, i: x * pow(11 / 13.0::DOUBLE, len(xs) - i))) END, 4) AS ema
+      FROM w JOIN s USING (ticker)""",
     "seeded_smoothing": f"{L_IND} SELECT ticker, date, round(smoothed, 2) AS smoothed FROM ind",
     "ema": f"{L_IND} SELECT ticker, date, round(ema_12, 2) AS ema_12, round(ema_26, 2) AS ema_26 FROM ind",
     "rsi": f"{L_IND} SELECT ticker, date, round(rsi_14, 4) AS rsi_14 FROM ind",

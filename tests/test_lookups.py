@@ -134,3 +134,24 @@ def test_rouge_l_of_whole_documents(spark):
     assert len(both) > 100
     for k in both[:60]:
         assert got[k] == pytest.approx(plain_rouge(texts[k], texts[k + 1]), abs=1e-6)
+
+
+@pytest.mark.parametrize(("window", "alpha"), [(14, 1 / 14), (3, 0.5), (1, 0.9999)])
+def test_scan_equals_the_recursion(spark, window, alpha):
+    """One hot series over many ranges and blocks, a short one, one without a whole seed, and rows without values."""
+    import numpy as np
+
+    from ledgerloom.operators.scan import seeded_scan
+    from ledgerloom.operators.smoothing import seeded
+
+    rng = random.Random(window)
+    rows = [("hot", k * 7, rng.choice([None, rng.uniform(-5, 50), rng.uniform(0, 1e6)])) for k in range(1500)] + [("short", k, float(k)) for k in range(20)] + [("bare", 1, None), (None, 2, 1.0)]
+    table = spark.createDataFrame(rows, "k string, at long, x double")
+    got = {(r.k, r.at): r.smoothed for r in seeded_scan(table, ["k"], "at", "x", window, alpha, ranges=5).collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", "short", "bare"):
+        mine = [(at, x) for k, at, x in rows if k == key]
+        want = seeded(np.array([np.nan if x is None else x for _, x in mine], float), window, alpha)
+        for (at, _), y in zip(mine, want, strict=True):
+            assert got[key, at] == (None if np.isnan(y) else pytest.approx(y, rel=1e-9, abs=1e-6))
+    assert got[None, 2] is None
