@@ -4,9 +4,10 @@ A window is a word and those that follow it in its piece, five in all, padded wi
 piece ends. Each word begins one window, so the sums by ever shorter prefixes of the five columns are
 the counts of all phrases of five words to one, and of all words: no other n-grams are listed.
 
-A window also ends before a word pair that can't be frequent. Pairs are counted in hashed
-slots for that, and a slot that counts fewer than ``least`` rules all its pairs out; no phrase
-that is frequent holds such a pair, so frequent phrases are counted whole, and only they are read.
+A window also ends before a pair or triple of words that can't be frequent. Pairs, and then triples
+of pairs that may be, are counted in hashed slots for that, and a slot that counts fewer than ``least``
+rules all in it out; no phrase that is frequent holds one of them, so frequent phrases are counted
+whole, and only they are read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from ledgerloom.session import shared_dir, spread, stored
 WORDS = 5
 LEAST, TOP, COVERED = 100, 2000, 100
 NAMES = [f"w{k + 1}" for k in range(WORDS)]
-#: Bytes of text a slot of the pair counts, and bounds of the number of slots (2 to the power): a bit each, 8 MB at most; and slots that travel together.
-BYTES_A_SLOT, FEWEST, MOST, CHUNK = 64, 10, 26, 1 << 14
+#: Bytes of text a slot of the pair and triple counts, and bounds of the number of slots (2 to the power): a bit each, 8 MB at most; and slots that travel together.
+BYTES_A_SLOT, FEWEST, MOST, CHUNK = 128, 10, 26, 1 << 14
 #: Languages whose totals may be broadcast.
 FEW = 10_000
 #: Bytes of text that are worked on, and pre-counted, at a time.
@@ -59,45 +60,81 @@ def _words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
         yield words.dictionary, words.indices.to_numpy().astype(np.int64), first[of], B.mix(B.slice_hashes(data, a, b, fold=True) + salt[of]), goes_on
 
 
-def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
-    """The slot of the pair that each word but the last makes with the next."""
-    return (B.mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(slots - 1)).astype(np.int64)
+def _slots(hashes: np.ndarray, slots: int, ahead: int) -> np.ndarray:
+    """The slot of the pair (``ahead`` 1) or triple (2) that each word makes with those behind it."""
+    key = hashes[: len(hashes) - ahead]
+    for k in range(1, ahead + 1):
+        key = B.mix(key * np.uint64(3) + hashes[k : len(hashes) - ahead + k])
+    return (key & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _ahead(flags: np.ndarray, k: int) -> np.ndarray:
+    """For each word the flag of the k-th word behind it."""
+    return np.concatenate([flags[k:], np.zeros(min(k, len(flags)), bool)])
+
+
+def _linked(hashes: np.ndarray, goes_on: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each word, whether it, and the pair and triple that begin there, may be frequent: one array a table (of pairs, then triples)."""
+    out = []
+    for ahead, bits in enumerate(tables, 1):
+        slot = _slots(hashes, 8 * len(bits), ahead)
+        may = goes_on.copy() if ahead == 1 else out[0] & _ahead(out[0], 1)
+        may[len(slot) :] = False
+        may[: len(slot)] &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        out.append(may)
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def frequent_slots(docs: DataFrame, slots: int, least: int) -> np.ndarray:
-    """One bit a slot: whether the word pairs of the slot occur ``least`` times in all.
+def frequent_slots(docs: DataFrame, slots: int, least: int, tables: list[np.ndarray]) -> np.ndarray:
+    """One bit a slot: whether the word pairs of the slot (or, with the table of pairs, the triples of such pairs) occur ``least`` times in all.
 
     A task counts in one table of all slots, up to a number that is frequent anyway. Tables travel in
-    chunks and are added in two rounds, so that no task meets the chunks of all others.
+    chunks, those with few entries as lists, and are added in two rounds, so that no task meets the chunks of all others.
     """
+    ahead = len(tables) + 1
     most = 255 if least <= 255 else (1 << 31) - 1
     kind = np.uint8 if least <= 255 else np.int32
     chunk, rounds = min(slots, CHUNK), max(int(docs.rdd.getNumPartitions() ** 0.5), 1)
 
+    def packed(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        places = np.flatnonzero(counts).astype(np.uint16)
+        few = 2 * len(places) + len(places) * counts.itemsize < counts.nbytes
+        return pa.array([places.tobytes() if few else None], pa.binary()), pa.array([(counts[places] if few else counts).tobytes()])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = np.zeros(slots, kind), TaskContext.get().partitionId() % rounds
         for batch in batches:
             for _, _, _, hashes, goes_on in _words(batch.column(0), batch.column(1)):
-                found, n = np.unique(_slots(hashes, slots)[goes_on[:-1]], return_counts=True)
+                goes = goes_on if not tables else (linked := _linked(hashes, goes_on, tables)[0]) & _ahead(linked, 1)
+                slot = _slots(hashes, slots, ahead)
+                found, n = np.unique(slot[goes[: len(slot)]], return_counts=True)
                 table[found] = np.minimum(table[found] + n, most)
         used = np.flatnonzero(table.reshape(-1, chunk).any(axis=1))
         for at in used.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part]), pa.array([table[at * chunk : (at + 1) * chunk].tobytes()])], names=["at", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part]), *packed(table[at * chunk : (at + 1) * chunk])], names=["at", "part", "places", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(chunk, np.int64)
-        for counts in rows["counts"]:
-            total = np.minimum(total + np.frombuffer(counts, kind), most)
-        return pd.DataFrame({"at": rows["at"].iloc[:1], "counts": [total.astype(kind).tobytes()]})
+        for places, counts in zip(rows["places"], rows["counts"], strict=True):
+            at = slice(None) if places is None else np.frombuffer(places, np.uint16)
+            total[at] = np.minimum(total[at] + np.frombuffer(counts, kind), most)
+        places, counts = packed(total.astype(kind))
+        return pd.DataFrame({"at": rows["at"].iloc[:1], "places": places.to_pylist(), "counts": counts.to_pylist()})
 
-    parts = _rows(docs).mapInArrow(count, "at long, part long, counts binary")
+    parts = _rows(docs).mapInArrow(count, "at long, part long, places binary, counts binary")
     for keys in (["at", "part"], ["at"]):
-        parts = parts.groupBy(*keys).applyInPandas(add, "at long, counts binary")
-    frequent = parts.mapInPandas(lambda frames: (pd.DataFrame({"at": f["at"], "bits": [np.packbits(np.frombuffer(x, kind) >= least, bitorder="little").tobytes() for x in f["counts"]]}) for f in frames), "at long, bits binary")
+        parts = parts.groupBy(*keys).applyInPandas(add, "at long, places binary, counts binary")
+
+    def told(places: bytes | None, counts: bytes) -> bytes:
+        often = np.zeros(chunk, bool)
+        often[slice(None) if places is None else np.frombuffer(places, np.uint16)] = np.frombuffer(counts, kind) >= least
+        return np.packbits(often, bitorder="little").tobytes()
+
+    frequent = parts.mapInPandas(lambda frames: (pd.DataFrame({"at": f["at"], "bits": [told(p, x) for p, x in zip(f["places"], f["counts"], strict=True)]}) for f in frames), "at long, bits binary")
     out = np.zeros(slots // chunk * (chunk // 8), np.uint8)  # at most 2 ** MOST bits
     for row in frequent.toLocalIterator():
         out[row["at"] * (chunk // 8) : (row["at"] + 1) * (chunk // 8)] = np.frombuffer(row["bits"], np.uint8)
@@ -113,24 +150,21 @@ def _counted(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarr
     return at, n
 
 
-def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, w1 to w5, n): the windows of all words, counted run by run; '' stands behind a piece's end and behind an infrequent pair."""
-    slots = 8 * len(bits)
+def windows(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(lang, w1 to w5, n): the windows of all words, counted run by run; '' stands behind a piece's end and behind an infrequent pair or triple."""
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, code, lang, hashes, goes_on in _words(batch.column(0), batch.column(1)):
                 if not len(code):
                     continue
-                slot = _slots(hashes, slots)
-                linked = goes_on.copy()
-                linked[:-1] &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                linked, triple = _linked(hashes, goes_on, tables)
                 columns, whole = [lang, code], linked
                 for k in range(1, WORDS):  # the k-th word ahead
                     ahead = np.full(len(code), -1, np.int64)
                     ahead[: len(code) - k] = np.where(whole[: len(code) - k], code[k:], -1)
                     columns.append(ahead)
-                    whole = whole & np.concatenate([linked[k:], np.zeros(min(k, len(code)), bool)])
+                    whole = whole & _ahead(triple, k - 1)  # which begins with the pair from the k-th word on
                 for chosen in (np.flatnonzero(~linked), np.flatnonzero(linked)):  # most windows are one word
                     part = [x[chosen] for x in (columns if len(chosen) and linked[chosen[0]] else columns[:2])]
                     at, n = _counted(part, len(words))
@@ -160,7 +194,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     slots = 1 << min(max((size // BYTES_A_SLOT).bit_length(), FEWEST), MOST)
-    table = stored(windows(docs, frequent_slots(docs, slots, least)), shared_dir(docs.sparkSession, "windows"))
+    tables: list[np.ndarray] = []
+    for _ in ("pairs", "triples"):
+        tables.append(frequent_slots(docs, slots, least, tables))
+    table = stored(windows(docs, tables), shared_dir(docs.sparkSession, "windows"))
     longer = _rolled_up(table.filter("w2 <> ''"), NAMES).filter((F.col("k") < 2) | (F.col("f") >= least))
     both = longer.unionByName(_rolled_up(table.filter("w2 = ''"), NAMES[:1]))
     return both.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("k") == 0) | (F.col("f") >= least))
