@@ -115,12 +115,12 @@ def exact_quantiles(
     )
 
 
-def slot_levels(hashes: DataFrame, slots: int = SLOTS) -> bytes:
-    """One byte a slot: 3 times the binary logarithm of how many rows of ``hash`` fall in it.
+def slot_levels(hashes: DataFrame, slots: int = SLOTS, rows: Column | None = None) -> bytes:
+    """One byte a slot: 3 times the binary logarithm of how many rows of ``hash`` fall in it; ``rows`` where a row stands for several.
 
     The table's size does not depend on the input's: it orders values from rare to common.
     """
-    counts = hashes.groupBy(F.pmod("hash", F.lit(slots)).alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = hashes.groupBy(F.pmod("hash", F.lit(slots)).alias("slot")).agg((F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("rows"))
     every = hashes.sparkSession.range(slots).withColumnRenamed("id", "slot").join(counts, "slot", "left")
     level = F.least((3 * F.log2(F.coalesce("rows", F.lit(0)) + 1)).cast("int"), F.lit(127))
     listed = every.agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("level")))).alias("l"))
