@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.fixed_values import NEWS_MAX_AGE_DAYS, RSI_LOOKBACK, TREND_LOOKBACK, UNAVAILABLE
 from ledgerloom.functions.numbers import finite, pct_from
+from ledgerloom.functions.texts import printf
 from ledgerloom.operators.bars import latest_bars
 
 
@@ -69,7 +70,7 @@ def _fmt(spec: str, *values: Column) -> Column:
     present = F.lit(True)
     for v in values:
         present = present & v.isNotNull()
-    return F.when(present, F.format_string(spec, *values))
+    return F.when(present, printf(spec, *values))
 
 
 def _versus(label: str, value: str, reference: str) -> Column:
@@ -84,7 +85,7 @@ def technical_facts(bars: DataFrame, summary: DataFrame) -> DataFrame:
         summary.select("ticker", "currency", "low_52w", "high_52w", "ytd_return_pct"), "ticker"
     )
     currency = F.when(c("currency").isNotNull(), F.concat(F.lit(" "), c("currency"))).otherwise(F.lit(""))
-    gap_now = F.format_string("%+.1f%% now", c("gap_now"))
+    gap_now = printf("%+.1f%% now", c("gap_now"))
     trend = F.when(
         c("gap_now").isNotNull(),
         F.coalesce(
@@ -92,7 +93,7 @@ def technical_facts(bars: DataFrame, summary: DataFrame) -> DataFrame:
             F.concat(gap_now, F.lit(f"; the value {TREND_LOOKBACK} trading days ago is {UNAVAILABLE}")),
         ),
     )
-    rsi_now = F.format_string("%.1f now", c("rsi_now"))
+    rsi_now = printf("%.1f now", c("rsi_now"))
     rsi = F.when(
         c("rsi_now").isNotNull(),
         F.coalesce(
@@ -137,7 +138,7 @@ def technical_facts(bars: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def sentiment_fact(score: Column, label: Column, scored: Column, counts: Column) -> Column:
-    text = F.format_string(
+    text = printf(
         "Sentiment score: %+.2f (%s) on a scale from -1 to +1, "
         f"from %d headlines of the last {NEWS_MAX_AGE_DAYS} days (%d positive, %d negative, %d neutral)",
         score, label, scored,

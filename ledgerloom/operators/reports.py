@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as V
-from ledgerloom.functions.texts import bullets, markdown_escaped, number_text, sentence_count
+from ledgerloom.functions.texts import bullets, markdown_escaped, number_text, printf, sentence_count
 from ledgerloom.operators.corpus import filled_template
 
 
@@ -74,7 +74,7 @@ def with_placeholder(tickers: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def _signed(pct: Column) -> Column:
-    return F.when(pct.isNull(), "an unknown distance").otherwise(F.format_string("%+.1f%%", pct))
+    return F.when(pct.isNull(), "an unknown distance").otherwise(printf("%+.1f%%", pct))
 
 
 def figures(tickers: DataFrame, snapshot: DataFrame, volatility: DataFrame, sentiment: DataFrame) -> DataFrame:
@@ -96,20 +96,20 @@ def template_observations(found: DataFrame) -> DataFrame:
     p, v, s = F.col("price"), F.col("volatility"), F.col("sentiment")
     trend = F.when(
         p.isNotNull(),
-        F.format_string(
+        printf(
             "The close of %.2f is %s from the 200-day average and %s from the 50-day average.",
             p["close"], _signed(p["close_vs_sma_200_pct"]), _signed(p["close_vs_sma_50_pct"]),
         ),
     ).otherwise("No price data was available, so the trend is unknown.")
     vol = F.when(
         v.isNotNull(),
-        F.format_string(
+        printf(
             "%d-day volatility is %.1f%%, at the %.0fth percentile of the past year.", v["window"], v["current_pct"], v["percentile_1y"]
         ),
     ).otherwise("No volatility figure was available.")
     news = F.when(
         s["score"].isNotNull(),
-        F.format_string("The Sentiment score of the given headlines is %+.2f (%s).", s["score"], s["label"]),
+        printf("The Sentiment score of the given headlines is %+.2f (%s).", s["score"], s["label"]),
     ).otherwise("No headline sentiment was available.")
     return found.select("ticker", F.array(trend, vol, news).alias("observations"))
 
@@ -120,7 +120,7 @@ def template_reports(found: DataFrame, levels: DataFrame) -> DataFrame:
     to_200 = _signed(p["close_vs_sma_200_pct"])
     trend = F.when(
         p.isNotNull(),
-        F.format_string(
+        printf(
             "The price closed at %.2f on %s, %s from its 200-day average and %s from its 50-day average.",
             p["close"], p["as_of"].cast("string"), to_200, _signed(p["close_vs_sma_50_pct"]),
         ),
@@ -128,20 +128,20 @@ def template_reports(found: DataFrame, levels: DataFrame) -> DataFrame:
     trend_fact = F.when(p.isNotNull(), F.format_string("Close %s vs the 200-day average", to_200)).otherwise("No price data was returned")
     vol = F.when(
         v.isNotNull(),
-        F.format_string(
+        printf(
             "Annualised %d-day volatility is %.1f%%, at the %.0fth percentile of the past year.",
             v["window"], v["current_pct"], v["percentile_1y"],
         ),
     ).otherwise("Volatility was unavailable.")
     vol_fact = F.when(
-        v.isNotNull(), F.format_string("Volatility %.1f%%, percentile %.0f", v["current_pct"], v["percentile_1y"])
+        v.isNotNull(), printf("Volatility %.1f%%, percentile %.0f", v["current_pct"], v["percentile_1y"])
     ).otherwise("No volatility result was returned")
     scored = s["score"].isNotNull()
     news = F.when(
-        scored, F.format_string("The Sentiment score of recent headlines is %+.2f (%s).", s["score"], s["label"])
+        scored, printf("The Sentiment score of recent headlines is %+.2f (%s).", s["score"], s["label"])
     ).otherwise("Headline sentiment was unavailable.")
     news_fact = F.when(
-        scored, F.format_string("Sentiment score %+.2f over %d headlines", s["score"], s["scored"])
+        scored, printf("Sentiment score %+.2f over %d headlines", s["score"], s["scored"])
     ).otherwise("No sentiment result was returned")
 
     def risk(title: str, fact: Column, tool: str) -> Column:
@@ -211,13 +211,13 @@ def report_markdown(reports: DataFrame, as_of: Column) -> DataFrame:
     def leg_text(leg: Column) -> Column:
         found = F.filter(c("levels.candidates"), lambda x: x["name"] == leg["level_name"])
         price = F.try_element_at(found, F.lit(1))["level"]
-        where = F.when(price.isNotNull(), F.format_string(" at %.2f (%s)", price, leg["level_name"])).otherwise("")
+        where = F.when(price.isNotNull(), printf(" at %.2f (%s)", price, leg["level_name"])).otherwise("")
         return F.concat(F.lit("- "), leg["action"], F.lit(" "), F.replace(leg["instrument"], F.lit("_"), F.lit(" ")), where)
 
     lv = c("levels")
     move = F.when(
         lv.isNotNull(),
-        F.format_string(
+        printf(
             "Expected %d-trading-day move: ±%.2f (%.1f%%) from %.2f, using %.1f%% volatility (%s).\n",
             lv["horizon_trading_days"], lv["expected_move"], lv["expected_move_pct"], lv["price"], lv["volatility_pct"], lv["volatility_source"],
         ),
@@ -250,12 +250,12 @@ def sentiment_section(sentiment: DataFrame, top: DataFrame, tickers: DataFrame)
     ).otherwise("")
     line = F.concat(
         c("rank").cast("string"), F.lit(". **"), markdown_escaped("title"), F.lit("**"), byline, F.lit(": "), c("sentiment"),
-        F.format_string(", score %+.2f. ", c("score")), markdown_escaped(F.coalesce("brief_reason", F.lit(""))),
+        printf(", score %+.2f. ", c("score")), markdown_escaped(F.coalesce("brief_reason", F.lit(""))),
     )
     ordered = F.array_sort(F.collect_list(F.struct(c("rank"), line.alias("line"))))
     lines = top.groupBy("ticker").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("lines"))
     counts = c("counts")
-    head = F.format_string(
+    head = printf(
         "**Sentiment score: %+.2f (%s)** on a scale from -1 to +1, "
         f"the mean of %d headlines from the last {V.NEWS_MAX_AGE_DAYS} days: %d positive, %d negative, %d neutral.",
         c("score"), c("label"), c("scored"), counts["positive"], counts["negative"], counts["neutral"],
@@ -282,7 +282,7 @@ def market_briefs(
     currency = F.when(c("currency").isNotNull(), F.concat(F.lit(" "), c("currency"))).otherwise("")
 
     def money(name: str) -> Column:
-        return F.when(c(name).isNotNull(), F.concat(F.format_string("%.2f", c(name)), currency)).otherwise(V.UNAVAILABLE)
+        return F.when(c(name).isNotNull(), F.concat(printf("%.2f", c(name)), currency)).otherwise(V.UNAVAILABLE)
 
     method = F.array(
         F.lit(

@@ -18,6 +18,7 @@ from ledgerloom.fixed_values import (
     TOP_HEADLINES,
 )
 from ledgerloom.functions.numbers import finite
+from ledgerloom.functions.texts import printf
 
 
 def decision_problem(choice: Column, probabilities: Column, options: list[str] = SENTIMENTS) -> Column:
@@ -36,7 +37,7 @@ def decision_problem(choice: Column, probabilities: Column, options: list[str] =
         .when(
             # one part in 1e9 of slack, so a sum of exactly 0.98 or 1.02 passes
             F.abs(total - 1.0) > PROBABILITY_SUM_TOLERANCE + 1e-9,
-            F.format_string("probabilities sum to %.2f, not 1", total),
+            printf("probabilities sum to %.2f, not 1", total),
         )
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import ranked_probabilities
+from ledgerloom.functions.texts import printf
 from ledgerloom.operators import news as N
 from ledgerloom.operators import sentiment as S
 from ledgerloom.plans import bindings as D
@@ -155,7 +156,7 @@ def strongest_with_sources(spark, d):
 
 def ranked_probabilities_text(spark, d):
     ranked = F.transform(
-        ranked_probabilities("probabilities"), lambda e: F.format_string("%s %.2f", e["key"], e["value"])
+        ranked_probabilities("probabilities"), lambda e: printf("%s %.2f", e["key"], e["value"])
     )
     return _decisions(spark, d).select("ord", F.array_join(ranked, ", ").alias("described"))
 
