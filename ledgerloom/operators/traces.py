@@ -6,7 +6,7 @@ and the per-event columns of :data:`ledgerloom.schemas.TRACE_SCHEMA`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.fixed_values import (
     AGENT_LANES,
@@ -15,6 +15,7 @@ from ledgerloom.fixed_values import (
     MESSAGE_SHORT_NAMES,
     TRACE_OUTPUT_CHARS,
 )
+from ledgerloom.functions.numbers import rounded_scaled
 from ledgerloom.operators.ordered import BLOCK, with_position, with_running_sum
 
 
@@ -31,12 +32,22 @@ def _not_ok() -> Column:
 
 
 def tool_stats(trace: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per tool (and ``by``, such as run_id): calls, ok calls, mean and longest duration, cache hits."""
-    return tool_calls(trace).groupBy(*(by or []), "tool").agg(
+    """Per tool (and ``by``, such as run_id): calls, ok calls, mean and longest duration, cache hits.
+
+    Within ``by``, durations are added in the order of ``seq``, as a reader of the trace adds them: a mean near a
+    half is then rounded the same way however the rows are dealt. All calls of a tool are added in any order.
+    """
+    calls, keys = tool_calls(trace), [*(by or []), "tool"]
+    mean = F.avg("duration_ms")
+    if by:
+        upto = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        calls = calls.withColumn("_sum", F.sum("duration_ms").over(upto))
+        mean = F.try_divide(F.max_by("_sum", "seq"), F.count("duration_ms"))
+    return calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("status") == "ok").alias("ok"),
-        F.round(F.avg("duration_ms"), 1).alias("mean_ms"),
-        F.round(F.max("duration_ms"), 1).alias("max_ms"),
+        rounded_scaled(mean, 1).alias("mean_ms"),
+        rounded_scaled(F.max("duration_ms"), 1).alias("max_ms"),
         F.count_if(F.col("cache_hit")).alias("cache_hits"),
     )
 
