@@ -66,9 +66,14 @@ def run_sessions(trace: DataFrame, gap: str = "30 minutes", late: str = "2 hours
     )
 
 
-def live_unique_stories(headlines: DataFrame, days: int = 7) -> DataFrame:
-    """Headlines whose story was not seen for the ticker within the last ``days``; older arrivals are late and dropped."""
+def live_unique_stories(headlines: DataFrame, days: int | None = 7) -> DataFrame:
+    """Headlines whose story was not seen for the ticker within the last ``days``; older arrivals are late and dropped.
+
+    Without ``days`` no arrival is late and a story is new only once; each then stays in the state, best kept in RocksDB.
+    """
     keyed = headlines.withColumn("title_key", story_key())
+    if days is None:
+        return keyed.dropDuplicates(["ticker", "title_key"])
     return keyed.withWatermark("published", f"{days} days").dropDuplicatesWithinWatermark(["ticker", "title_key"])
 
 
