@@ -8,9 +8,9 @@ sessions are emitted once, in append mode, when the watermark passes their end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ledgerloom.operators.news import story_key
@@ -90,30 +90,44 @@ class ReplanCycles(StatefulProcessor):
         self.current = handle.getListState("current", "seq bigint, tool string")
         self.previous = handle.getListState("previous", "seq bigint, tool string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Every call to a state is a round trip, so each is read and written once a micro-batch, if it is needed at all."""
         run_id, agent = key
-        out: list[tuple] = []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for event, turn, seq, tool in zip(batch["event"], batch["turn"], batch["seq"], batch["tool"], strict=True):
+        stored = self.turn.get()
+        number, cycle = stored or (None, False)
+        begun = bool(stored)
+        previous = None if stored else []  # calls of the previous turn; None: not read yet
+        led = None if stored else False  # whether there are any
+        calls: list[tuple] = []  # of the current turn, in this micro-batch
+        turned = False
+        for seq, event, turn, tool in sorted(((r.seq, r.event, r.turn, r.tool) for r in rows), key=itemgetter(0)):
             if event == "agent_turn":
-                calls = list(self.current.get()) if self.turn.exists() else []
-                self.previous.clear()
-                if calls:
-                    self.previous.put(calls)
-                self.current.clear()
-                self.turn.update((int(turn), False))
-            elif event == "tool_call" and self.turn.exists():
-                number, cycle = self.turn.get()
+                previous = calls if turned or not stored else [*self.current.get(), *calls]
+                led, calls, turned = bool(previous), [], True
+                number, cycle, begun = turn, False, True
+            elif event == "tool_call" and begun:
                 if not cycle:
-                    observed = list(self.previous.get())
-                    out += [(run_id, agent, number, "observed", int(s), t) for s, t in observed]
-                    self.turn.update((number, True))
+                    if previous is None:
+                        previous = list(self.previous.get())
+                        led = bool(previous)
+                    for s, t in previous:
+                        yield Row(run_id=run_id, agent=agent, turn=number, side="observed", seq=s, tool=t)
                     cycle = True
-                if self.previous.exists():
-                    out.append((run_id, agent, number, "chose", int(seq), tool))
-                self.current.appendValue((int(seq), tool))
-        columns = ["run_id", "agent", "turn", "side", "seq", "tool"]
-        yield pd.DataFrame(out, columns=columns).astype({"turn": "int64", "seq": "int64"})
+                if led is None:
+                    led = self.previous.exists()
+                if led:
+                    yield Row(run_id=run_id, agent=agent, turn=number, side="chose", seq=seq, tool=tool)
+                calls.append((seq, tool))
+        if begun and (number, cycle) != stored:
+            self.turn.update((number, cycle))
+        if turned:
+            for state, now in ((self.previous, previous), (self.current, calls)):
+                if now:
+                    state.put(now)
+                elif stored:
+                    state.clear()
+        elif calls:
+            self.current.appendList(calls)
 
     def close(self) -> None:
         pass
@@ -122,7 +136,7 @@ class ReplanCycles(StatefulProcessor):
 def live_replan_cycles(trace: DataFrame) -> DataFrame:
     """Replan cycles as they happen. Needs the RocksDB state store."""
     kept = trace.where(is_event("agent_turn", "tool_call")).select("run_id", "agent", "event", "turn", "seq", "tool")
-    return kept.groupBy("run_id", "agent").transformWithStateInPandas(
+    return kept.groupBy("run_id", "agent").transformWithState(
         statefulProcessor=ReplanCycles(), outputStructType=CYCLE_SCHEMA, outputMode="Append", timeMode="None"
     )
 

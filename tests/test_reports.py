@@ -88,6 +88,69 @@ def test_live_replan_cycles_across_micro_batches(spark, tmp_path):
     assert got == [(2, "chose", 4), (2, "chose", 5), (2, "observed", 2)]
 
 
+class _Counted:
+    """A value or list state that counts the calls to it."""
+
+    calls = 0
+
+    def __init__(self, is_list):
+        self.is_list, self.held = is_list, None
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "put", "clear", "appendList", "appendValue"):
+            _Counted.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return iter(self.held or []) if self.is_list else self.held
+
+    def update(self, value):
+        self.held = tuple(value)
+
+    def put(self, values):
+        self.held = list(values)
+
+    def clear(self):
+        self.held = None
+
+    def appendList(self, values):
+        self.held = [*(self.held or []), *values]
+
+
+def test_replan_cycles_read_and_write_state_once_a_micro_batch():
+    """Random events of a key in micro-batches of any size give a plain pass's cycles, by at most seven calls a batch."""
+    import random
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        events = [("agent_turn", k if rng.random() < 0.9 else None, None) if rng.random() < 0.3 else ("tool_call", None, rng.choice("xyz")) for k in range(200)]
+        want, turn, before, now = [], None, [], []
+        for k, (event, number, tool) in enumerate(events):
+            if event == "agent_turn":
+                turn, before, now = (number,), now, []
+            elif turn:
+                if before:
+                    want += [(*turn, "observed", *x) for x in before if not now] + [(*turn, "chose", k, tool)]
+                now.append((k, tool))
+        cycles = L.ReplanCycles()
+        cycles.init(SimpleNamespace(getValueState=lambda *_: _Counted(False), getListState=lambda *_: _Counted(True)))
+        got, at = [], 0
+        while at < len(events):
+            to = at + rng.choice([1, 2, 5, 60])
+            batch = [Row(event=e, turn=n, seq=k, tool=t) for k, (e, n, t) in enumerate(events) if at <= k < to]
+            rng.shuffle(batch)
+            _Counted.calls, at = 0, to
+            got += [tuple(r)[2:] for r in cycles.handleInputRows(("r", "A"), iter(batch), None)]
+            assert _Counted.calls <= 7
+        assert got == want
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     from ledgerloom.session import shared_dir
 
