@@ -155,3 +155,35 @@ def test_scan_equals_the_recursion(spark, window, alpha):
         for (at, _), y in zip(mine, want, strict=True):
             assert got[key, at] == (None if np.isnan(y) else pytest.approx(y, rel=1e-9, abs=1e-6))
     assert got[None, 2] is None
+
+
+def test_scan_over_many_batches_and_keys_shuffles_rows_by_range_only(spark):
+    """Keys of two columns end and begin inside of batches of seven rows; odd rows are among them; no join by the order."""
+    import numpy as np
+
+    from ledgerloom.operators.scan import seeded_scan
+    from ledgerloom.operators.smoothing import seeded
+
+    rng = random.Random(5)
+    sizes = {("a", 1): 90, ("a", 2): 4, ("b", 1): 31, ("b", 2): 5, ("c", 1): 200}
+    rows = [(*k, at, rng.choice([None, float("nan"), rng.uniform(1, 9), rng.uniform(1, 9)])) for k, n in sizes.items() for at in range(n)]
+    odd = [("a", 1, None, 3.0), ("a", 1, None, 3.0), (None, 1, 5, 2.0), ("b", None, 6, 2.0), ("c", 1, None, None)]
+    table = spark.createDataFrame(rows + odd, "k string, j int, at long, x double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ranges in (1, 3, 60):
+            out = seeded_scan(table, ["k", "j"], "at", "x", 5, 0.25, ranges=ranges)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not any("partitioning" in line and "at#" in line for line in plan.splitlines())
+            found = out.collect()
+            assert len(found) == len(rows) + len(odd)
+            got = {(r.k, r.j, r.at): r.smoothed for r in found}
+            for key in sizes:
+                mine = [(at, x) for *k, at, x in rows if tuple(k) == key]
+                want = seeded(np.array([np.nan if x is None else x for _, x in mine]), 5, 0.25)
+                for (at, _), y in zip(mine, want, strict=True):
+                    assert got[*key, at] == (None if np.isnan(y) else pytest.approx(y, rel=1e-12))
+            assert all(got[k] is None for k in [("a", 1, None), (None, 1, 5), ("b", None, 6), ("c", 1, None)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
