@@ -172,3 +172,28 @@ def test_pipeline_runs_on_the_tables(spark, sf):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_a_query(n):
     assert [name for name in registry.queries() if name.startswith(f"op{n}_")]
+
+
+def test_piece_counts_encode_each_run_once_and_are_the_library_s(monkeypatch):
+    """Texts with spaces in every place, space marks and nulls, over several slices; repeated words reach the library once a slice."""
+    import pyarrow as pa
+    import sentencepiece
+
+    from ledgerloom.llm.pieces import model_file
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    texts = ["", " ", "  a", "a ", "a  b", "a\nb ", "▁", "a▁b", "\t\tx\r\n y", "é中😀 </s>\n\nwörter", "x y", "\n a", "don't,it's", None, "the river bank " * 50 + "end"]
+    for together in (1, 40, 1 << 20):
+        monkeypatch.setattr(rollups, "TOGETHER", together)
+        got = rollups._counts(model_file(), pa.array(texts * 3, pa.string()))
+        assert got == [len(model.encode(t or "")) for t in texts * 3]
+    seen = []
+
+    class Watched:
+        def encode(self, x):
+            seen.extend([x] if isinstance(x, str) else x)
+            return model.encode(x)
+
+    monkeypatch.setattr(rollups, "_library", lambda path: Watched())
+    assert rollups._counts(model_file(), pa.array(["one two three one"] * 1000)) == [len(model.encode("one two three one"))] * 1000
+    assert sorted(seen) == ["one", "three", "two"]
