@@ -249,6 +249,17 @@ def test_short_lines_repeat_too(spark):
     assert staged[2] == "\nAll rights kept." and 3 not in staged and staged[None] == "\nx"
 
 
+def test_scratch_tables_hold_no_row_for_each_copy_of_a_line(spark, tmp_path, monkeypatch):
+    folders = (str(tmp_path / f"{k:03}") for k in range(100))
+    monkeypatch.setattr(linededup, "shared_dir", lambda spark, name: next(folders))
+    table = spark.createDataFrame([(k, "all of these copies are one line of ten words\nshort one") for k in range(300)], "doc_id long, text string")
+    got = linededup.removed_lines(table).collect()
+    assert len(got) == 299 and all(list(r["removed"]) == [0, 1] for r in got)
+    kept = [spark.read.parquet(str(folder)) for folder in tmp_path.iterdir()]
+    assert max(t.count() for t in kept) == 2
+    assert not any(kind == "array<string>" for t in kept for _, kind in t.dtypes)
+
+
 def test_cleaned_keeps_other_columns_and_drops_emptied_rows(odd_docs):
     got = linededup.cleaned(odd_docs, least_words=5)
     assert got.columns == odd_docs.columns
