@@ -21,24 +21,21 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def _frequencies(docs: DataFrame) -> bytes:
-    """For each slot, CLASSES times the binary logarithm of how many words of all texts fall in it."""
-    hashed = docs.select(F.explode(_words(F.lower("text"))).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot"))
-    counts = hashed.groupBy("slot").agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left")
-    level = F.least((CLASSES * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"), F.lit(127))
-    listed = F.sort_array(F.collect_list(F.struct("slot", level.alias("level"))))
-    line = every.agg(listed.alias("l")).select(F.array_join(F.transform("l", lambda x: F.char(x["level"])), "").alias("levels")).first()
-    return line["levels"].encode("ascii")  # SLOTS bytes, whatever the table's size
-
-
-def _codes(hashes: Column, frequencies: bytes) -> Column:
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """One row, ``levels``: for each slot, CLASSES times the binary logarithm of how many words of all texts fall in it."""
+    hashed = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''").select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), F.lit(1).cast("long").alias("n"))
+    every = hashed.unionByName(docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n")))
+    level = F.least((CLASSES * F.log2(F.sum("n") + 1)).cast("int"), F.lit(127)).cast("tinyint")
+    listed = F.sort_array(F.collect_list(F.struct("slot", "level")))  # SLOTS rows, whatever the table's size
+    return every.groupBy("slot").agg(level.alias("level")).agg(F.transform(listed, lambda x: x["level"]).alias("levels"))
+
+
+def _codes(hashes: Column, levels: Column) -> Column:
     """32-bit codes of words that ascend with their frequency: its class, then 24 bits of the hash, in order.
 
     Words may share a code, which is then there twice: two sets share at least as many codes as words.
     """
-    levels = F.split(F.lit(",".join(map(str, frequencies))), ",").cast("array<int>")  # a constant, folded once
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("int")
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 24).bitwiseOR(F.shiftrightunsigned(h, 40).cast("int"))))
 
 
@@ -93,7 +90,7 @@ def _staying(docs: DataFrame, percent: int, least_words: int, id_col: str, text_
     spark = docs.sparkSession
     save = lambda df, name: stored(df, shared_dir(spark, name))
     texts = docs.select(*_keys(id_col, text_col), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
-    frequency = _frequencies(texts)
+    frequency = _frequencies(texts).scalar()
 
     def lines_of(table: DataFrame) -> DataFrame:
         return table.select("doc", "copy", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "said"))
@@ -103,7 +100,10 @@ def _staying(docs: DataFrame, percent: int, least_words: int, id_col: str, text_
     hashed = worded.select("doc", "copy", "line", F.sort_array(F.array_distinct(F.transform(_words(c("said")), lambda w: F.xxhash64(w)))).alias("_set"))
     n = F.size("_set")
     bits = F.aggregate("_set", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
-    lines = hashed.select("doc", "copy", "line", F.xxhash64("_set").alias("set"), n.alias("n"), bits.alias("bits"), F.slice(_codes(c("_set"), frequency), F.lit(1), _prefix(n, percent)).alias("prefix"))
+    lines = hashed.select("doc", "copy", "line", F.xxhash64("_set").alias("set"), n.alias("n"), bits.alias("bits"), "_set")
+    # the levels are a subquery, which a lambda can't name itself; as a constant they would stand in every text of the plan
+    codes = _codes(c("_set"), c("_levels"))
+    lines = lines.withColumn("_levels", frequency).select("doc", "copy", "line", "set", "n", "bits", F.slice(codes, F.lit(1), _prefix(n, percent)).alias("prefix"))
     nodes = lines.groupBy("set").agg(F.min(F.struct("doc", "copy", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     # short numbers that tell nodes apart take half a hash's room in all shuffles
     nodes = save(nodes.filter(c("n") >= least_words).select(F.monotonically_increasing_id().alias("node"), "first.*", "n", "bits", "prefix"), "line-nodes")

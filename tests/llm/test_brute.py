@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import compression, graph, linededup, oddsketch, packing, pieces, repetition, secrets, spotsigs, wordids
+from ledgerloom.llm.bitmaps import may_be_among
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -249,6 +250,25 @@ def test_short_lines_repeat_too(spark):
     assert staged[2] == "\nAll rights kept." and 3 not in staged and staged[None] == "\nx"
 
 
+def test_plans_hold_no_tables(spark, tmp_path, monkeypatch):
+    """Bitmaps and frequencies as constants stood in every text of a plan, of which the driver keeps many."""
+    texts = []
+
+    def kept(df, path):
+        texts.append(df._jdf.queryExecution().toString())
+        return stored(df, path)
+
+    stored = linededup.stored
+    monkeypatch.setattr(linededup, "stored", kept)
+    rows = [(k, "one two three four five six seven eight nine " + "ten" * (k % 2) + "\n" + f"line {k} of its own") for k in range(4)]
+    linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    keys = spark.range(0, 1000, 10).withColumnRenamed("id", "k")
+    found = may_be_among(spark.range(1000).withColumnRenamed("id", "k"), keys, ["k"])
+    texts.append(found._jdf.queryExecution().toString())
+    assert texts and max(map(len, texts)) < 60_000
+    assert {r["k"] for r in keys.collect()} <= {r["k"] for r in found.collect()} and found.count() < 120
+
+
 def test_scratch_tables_hold_no_row_for_each_copy_of_a_line(spark, tmp_path, monkeypatch):
     folders = (str(tmp_path / f"{k:03}") for k in range(100))
     monkeypatch.setattr(linededup, "shared_dir", lambda spark, name: next(folders))
