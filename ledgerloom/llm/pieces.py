@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import pickle
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.session import shared_dir, stored
-
 SPACE = "▁"
 #: Characters of a chunk; only longer texts are split.
 CHUNK = 4096
@@ -226,6 +228,36 @@ class Pieces:
         tail = self.trace(self.paths(rest[final:], len(text) - final, FRESH, last), len(text) - final + leave[0], 0)
         return self.pack(head) + self.whole(text[first:final]) + self.pack(tail)
 
+    def measured(self, before: str, text: str, after: str) -> tuple[Matrix, tuple]:
+        """The chunk's transfer matrix, and what its ids are made of when the states around it are known.
+
+        That is (ids before the first safe place by the state at the start, those inside, those behind
+        the last safe place by the state at the end), or (text, after) where there is no safe place.
+        """
+        rest, last = text + after, not after
+        safe = _SAFE.search(text)
+        if safe is None:
+            return self.matrix(before, text, after), (text, after)
+        first, final = safe.start(), max(m.start() for m in _SAFE.finditer(text))
+        live = self.paths(rest[final:], len(text) - final, FRESH, last)
+        ends = {(to - len(text) + final, piece): (weight, to) for to, (_, piece, weight) in live.items() if to >= len(text) - final}
+        tails = {end: self.pack(self.trace(live, to, 0)) for end, (_, to) in ends.items()}
+        heads, matrix = {}, {}
+        for state in self.entries(before, rest):
+            live = self.paths(rest[:first], first, state, True)
+            if first in live:
+                heads[state] = self.pack(self.trace(live, first, state[0]))
+                matrix[state] = {end: live[first][2] + weight for end, (weight, _) in ends.items()}
+        inside = np.frombuffer(self.whole(text[first:final]), "<u4")
+        return matrix, (heads, inside.astype("<u2" if len(self.raw) <= 1 << 16 else "<u4"), tails)
+
+    def joined(self, made: tuple, enter: State, leave: State) -> bytes:
+        """Ids of the pieces that start in a chunk that was ``measured``, on the path between two states."""
+        if len(made) == 2:
+            return self.traced(*made, enter, leave)
+        heads, inside, tails = made
+        return heads[enter] + inside.astype("<u4").tobytes() + tails[leave]
+
     def decode(self, packed: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
         return raw.decode("utf-8", "replace")[1:]
@@ -288,13 +320,15 @@ def encoded(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str =
     return short.unionByName(long_ones)
 
 
-def encoded_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def encoded_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows of ``encoded`` of texts of one part, and those of longer texts.
 
     A text of up to ``chunk`` characters has one part, a longer one as many as it takes. A null or
     empty text has one part without ids. ``copy``, a hash of the text, tells texts of one id
     apart, ``row`` (from 0) repeated rows of a long text; repeated short ones have row 0. Null
-    ids stay. Other columns are not read. Only chunks of long texts are shuffled.
+    ids stay. Other columns are not read. Only long texts are shuffled: their chunks, which are dealt to
+    all tasks, and the chunks' ids, which meet by text, where a task holds those of one text. With ``whole`` a
+    longer text is one row, too, part 0, with all its ids; ``parts`` still counts its chunks.
     """
     c = F.col
     text = F.coalesce(c(text_col).cast("string"), F.lit(""))
@@ -309,13 +343,13 @@ def encoded_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col:
             yield frame.assign(parts=1, part=0)[["id", "copy", "parts", "part", "ids"]]
 
     long_rows = rows.filter(F.char_length("text") > chunk)
-    repeats = long_rows.groupBy("id", "copy").agg(F.count("*").cast("int").alias("n"))
     last_part = F.floor((F.char_length("text") - 1) / chunk).cast("int")
-    cut = long_rows.dropDuplicates(["id", "copy"]).select("id", "copy", "text", (last_part + 1).alias("parts"), F.explode(F.sequence(F.lit(0), last_part)).alias("part"))
+    cut = long_rows.select("id", "copy", "text", (last_part + 1).alias("parts"), F.explode(F.sequence(F.lit(0), last_part)).alias("part"))
     around = 32
     low = F.greatest(c("part") * chunk - around, F.lit(0))
-    chunks = cut.select("id", "copy", "parts", "part", F.substring("text", low + 1, F.lit(chunk + 2 * around)).alias("text")).repartition("id", "copy", "part")
-    chunks = stored(chunks, shared_dir(docs.sparkSession, "chunks"))
+    chunks = cut.select("id", "copy", "parts", "part", F.substring("text", low + 1, F.lit(chunk + 2 * around)).alias("text"))
+    # deals the chunks and finds repeated ones at once
+    chunks = chunks.groupBy("id", "copy", "part").agg(F.first("parts").alias("parts"), F.count("*").cast("int").alias("n"), F.first("text").alias("text"))
 
     def split(part: int, text: str) -> tuple[str, str, str]:
         lead = min(part * chunk, around)
@@ -323,48 +357,39 @@ def encoded_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col:
         before, body, after = marked[:lead], marked[lead : lead + chunk], marked[lead + chunk :]
         return before, (SPACE + body if part == 0 else body), after
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(model_path)
         near = model.longest - 1
-        for frame in frames:
-            made = [model.matrix(b[-near:], x, a[:near]) for b, x, a in map(split, frame["part"], frame["text"])]
-            frame["matrix"] = [[{"enter_over": s[0], "enter": s[1], "leave_over": e[0], "leave": e[1], "weight": w} for s, row in m.items() for e, w in row.items()] for m in made]
-            yield frame[["id", "copy", "part", "matrix"]]
-
-    cell = "array<struct<enter_over:int,enter:string,leave_over:int,leave:string,weight:double>>"
-    scanned = chunks.mapInPandas(matrices, f"id {id_type}, copy long, part int, matrix {cell}")
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part")
-        ordered = []
-        for cells in frame["matrix"]:
-            m: Matrix = {}
-            for x in cells:
-                m.setdefault((x["enter_over"], x["enter"]), {})[x["leave_over"], x["leave"]] = x["weight"]
-            ordered.append(m)
-        states = boundaries(ordered)
-        out = frame[["id", "copy", "part"]].copy()
-        out["enter_over"], out["enter"] = zip(*states[:-1], strict=True)
-        out["leave_over"], out["leave"] = zip(*states[1:], strict=True)
-        return out
+        for batch in batches:
+            texts = map(split, batch.column(2).to_pylist(), batch.column(5).to_pylist())
+            made = pa.array([pickle.dumps(model.measured(b[-near:], x, a[:near])) for b, x, a in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], made], names=[*batch.schema.names[:5], "made"])
 
-    known = scanned.groupBy("id", "copy").applyInPandas(scan, f"id {id_type}, copy long, part int, enter_over int, enter string, leave_over int, leave string")
-
-    def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by text and part."""
         model = pieces_of(model_path)
-        near = model.longest - 1
-        for frame in frames:
-            out = []
-            for part, text, eo, e, lo, le in zip(*(frame[x] for x in ("part", "text", "enter_over", "enter", "leave_over", "leave")), strict=True):
-                _, body, after = split(part, text)
-                out.append(model.traced(body, after[:near], (eo, e), (lo, le)))
-            frame["ids"] = out
-            yield frame[["id", "copy", "parts", "part", "ids"]]
-
-    same = chunks["id"].eqNullSafe(known["id"]) & (chunks["copy"] == known["copy"]) & (chunks["part"] == known["part"])
-    joined = chunks.join(known, same).select(chunks["id"], chunks["copy"], chunks["parts"], chunks["part"], "text", "enter_over", "enter", "leave_over", "leave")
-    traced = joined.mapInPandas(back, schema).alias("t").join(repeats.alias("r"), c("t.id").eqNullSafe(c("r.id")) & (c("t.copy") == c("r.copy")))
-    traced = traced.select("t.*", F.explode(F.sequence(F.lit(0), c("r.n") - 1)).alias("row"))
+        kinds = []
+
+        def chunks_of() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = [f.type for f in batch.schema]
+                yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+        for (key, copy), rows_of in groupby(chunks_of(), key=lambda r: r[:2]):
+            of = list(rows_of)
+            made = [pickle.loads(r[5]) for r in of]
+            states = boundaries([m for m, _ in made])
+            ids = [model.joined(x, *ends) for (_, x), *ends in zip(made, states[:-1], states[1:], strict=True)]
+            ids = [b"".join(ids)] if whole else ids
+            many = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * many, kinds[0]), pa.array([copy] * many, pa.int64()), pa.array([len(of)] * many, pa.int32()), pa.array(range(many), pa.int32()), pa.array(ids, pa.binary()), pa.array([of[0][4]] * many, pa.int32())],
+                names=["id", "copy", "parts", "part", "ids", "n"],
+            )
+
+    measured = chunks.select("id", "copy", "part", "parts", "n", "text").mapInArrow(measure, f"id {id_type}, copy long, part int, parts int, n int, made binary")
+    by_text = measured.repartition("id", "copy").sortWithinPartitions("id", "copy", "part")
+    traced = by_text.mapInArrow(join, f"{schema}, n int").select("id", "copy", "parts", "part", "ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("row"))
     firsts = rows.filter(F.char_length("text") <= chunk).mapInPandas(short, schema).withColumn("row", F.lit(0))
     return firsts.withColumnRenamed("id", id_col), traced.withColumnRenamed("id", id_col)
 
@@ -390,7 +415,7 @@ def model_file() -> str:
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids, digested, and the digest of its text as read back from them."""
     path = model_file()
-    short, cut = encoded_parts(spark.read.parquet(f"{d}/documents.parquet"), path)
+    short, cut = encoded_parts(spark.read.parquet(f"{d}/documents.parquet"), path, whole=True)
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "parts"]
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, parts int"
 
@@ -399,14 +424,9 @@ def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([digest(k, x or b"", 1) for k, x in zip(frame["doc_id"], frame["ids"], strict=True)], columns=names)
-
-    def together(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part")
-        return pd.DataFrame([digest(frame["doc_id"].iloc[0], b"".join(frame["ids"]), len(frame))], columns=names)
+            yield pd.DataFrame([digest(k, x or b"", n) for k, x, n in zip(frame["doc_id"], frame["ids"], frame["parts"], strict=True)], columns=names)
 
-    long_ones = cut.groupBy("doc_id", "copy", "row").applyInPandas(together, schema)
-    return short.mapInPandas(each, schema).unionByName(long_ones)
+    return short.mapInPandas(each, schema).unionByName(cut.mapInPandas(each, schema))
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}

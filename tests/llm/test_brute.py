@@ -491,6 +491,22 @@ def test_pieces_of_a_whole_table(spark):
     assert got == want and cut > 100
 
 
+def test_long_texts_are_shuffled_once_as_texts_and_once_as_ids(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "shared_dir", None, raising=False)  # nothing is stored
+    text = "a text of several chunks " * 40 + "x" * 300
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text[:-1] + "é")], "doc_id long, text string")
+    cut = pieces.encoded_parts(docs, pieces.model_file(), chunk=100)[1]
+    whole = pieces.encoded_parts(docs, pieces.model_file(), chunk=100, whole=True)[1]
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") + plan.count("Repartition") == 2 and "Join" not in plan
+    parts = {}
+    for r in sorted(cut.collect(), key=lambda r: r["part"]):
+        parts[r["doc_id"], r["row"]] = parts.get((r["doc_id"], r["row"]), b"") + r["ids"]
+    assert parts == {(r["doc_id"], r["row"]): r["ids"] for r in whole.collect()} and len(parts) == 4
+    model = pieces.pieces_of(pieces.model_file())
+    assert parts[1, 0] == parts[1, 1] == parts[None, 0] == model.whole(pieces.SPACE + text.replace(" ", pieces.SPACE))
+
+
 def test_small_tables_of_pieces_change_nothing(docs):
     whole, small = pieces.pieces_of(pieces.model_file()), pieces.Pieces(pieces.model_file(), 2000)
     for r in docs.limit(60).collect():
